@@ -22,3 +22,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_bytes
 
     return repeated_bytes(C.read_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_classes
+
+    return simhash_classes(C.read_table(spark, sf_dir, "documents"))
