@@ -29,3 +29,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import simhash_classes
 
     return simhash_classes(C.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokens import token_shards
+
+    return token_shards(C.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
