@@ -38,3 +38,10 @@ def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokens import token_shards
 
     return token_shards(C.read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(C.read_table(spark, sf_dir, "documents"))
