@@ -45,3 +45,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media import media_columns
 
     return media_columns(C.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_pages
+
+    return extract_pages(C.read_table(spark, sf_dir, "pages"))
