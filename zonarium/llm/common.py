@@ -120,12 +120,29 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[: n - width + 1], left[width - 1 : n])
 
 
-def word_spans(data: np.ndarray, separator: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of bytes that the 256-entry table does not mark as separators."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~separator[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+#: Bytes of words for matching: letters and digits, and all bytes of characters beyond ASCII.
+WORD_BYTE = np.array([chr(b).isalnum() or b > 127 for b in range(256)])
+LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+
+
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the lower-cased words of consecutive rows, and where each row's words begin.
+
+    offsets are those of the rows in data, of which the part from the first to the last is looked at; starts and ends
+    count from the first.
+    """
+    d = LOWER[data[offsets[0] : offsets[-1]]]
+    off = offsets - offsets[0]
+    inside = np.concatenate([WORD_BYTE[d], [False]])
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    at = off[:-1][off[:-1] < len(d)]
+    begins[at] = inside[at]
+    start = np.flatnonzero(begins)
+    stop = inside.copy()
+    stop[:-1] &= ~inside[1:] | begins[1:]
+    end = np.flatnonzero(stop) + 1
+    return start, end, pieces_hash(prefix_hash(d), start, end), np.searchsorted(start, off)
 
 
 def groups_of(lengths: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

@@ -52,3 +52,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .html_text import extract_pages
 
     return extract_pages(C.read_table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contaminations
+
+    return contaminations(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark"))
