@@ -59,3 +59,23 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontamination import contaminations
 
     return contaminations(C.read_table(spark, sf_dir, "documents"), C.read_table(spark, sf_dir, "benchmark"))
+
+
+#: Bytes of text in a shard of op10_sharding.
+SHARD_BYTES = 1 << 20
+
+
+@query
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import assign_shards
+
+    return assign_shards(C.read_table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+def _sharding_oracle() -> str:
+    from .sharding import oracle
+
+    return oracle(SHARD_BYTES)
+
+
+ORACLE["op10_sharding"] = _sharding_oracle()
