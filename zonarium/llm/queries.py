@@ -79,3 +79,10 @@ def _sharding_oracle() -> str:
 
 
 ORACLE["op10_sharding"] = _sharding_oracle()
+
+
+@query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(C.read_table(spark, sf_dir, "documents"))
