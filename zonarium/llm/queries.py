@@ -86,3 +86,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import identify
 
     return identify(C.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixture
+
+    return mixture(C.read_table(spark, sf_dir, "documents"))
