@@ -93,3 +93,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mixture
 
     return mixture(C.read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .passage_dedup import passage_classes
+
+    return passage_classes(C.read_table(spark, sf_dir, "documents"))
