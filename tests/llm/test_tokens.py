@@ -22,7 +22,7 @@ def test_round_trip(high):
 
 def texts():
     rng = random.Random(1)
-    bits = ["the", "The", "é", "straße", "don't", "it's", " ", "  ", "\n", "\t", "a.", ",", ".", "12", "x1", " ", "中文", "🙂", "é.", "…", "'s", "<|endoftext|>", "word.\nNext", "_", "　", "ﬁ."]
+    bits = ["the", "The", "é", "straße", "don't", "it's", " ", "  ", "\n", "\t", "a.", ",", ".", "12", "x1", " ", "中文", "🙂", "é.", "…", "'s", "<|endoftext|>", "word.\nNext", "_", "　", "ﬁ.", "Êtaß", "naïve***", "%%%", "a&&b", "x²", "ª", "z'll-", "Nr.\nÜber-12", "\x1c", "²³", "ßé.,"]
     out = [None, "", " ", "  a", "a ", "a  b", "\n x", "a  b", "a  b", "<|endoftext|>", "x <|endoftext|> y"]
     return out + ["".join(rng.choice(bits) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(60))) for _ in range(300)]
 

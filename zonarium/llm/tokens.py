@@ -170,52 +170,73 @@ def read_shard(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
             have, ready = [buffer[n:]], ready - n
 
 
+class _Memory(dict):
+    """What `make` gives for each key; cleared when it holds `room` keys."""
+
+    def __init__(self, make, room: int) -> None:
+        self.make, self.room = make, room
+
+    def __missing__(self, key: str) -> bytes:
+        made = self.make(key)
+        if len(self) >= self.room:
+            self.clear()
+        self[key] = made
+        return made
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct word being encoded once.
 
     A space between two non-space characters always begins a new pre-token of this byte-level BPE, so a text's ids are
-    those of its words, all but the first with a leading space. The memory of words is cleared when it reaches `room`.
+    those of its words, all but the first with a leading space. Words of letters, digits and ASCII marks other than the
+    apostrophe fall into runs of one kind, each a pre-token that goes to the library's model; all other words go to the
+    library whole, as do texts that hold the string of an added token. Memories of words are cleared at `room` keys.
     """
 
-    def __init__(self, path: str, room: int = 400_000) -> None:
+    def __init__(self, path: str, room: int = 700_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        encoder, room_ = self, room
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                if len(self) >= room_:
-                    self.clear()
-                self[word] = ids = encoder.word(word)
-                return ids
-
-        self.words = Words()
-        self.plain = re.compile(r"[A-Za-z]+")
         self.model = self.tokenizer.model.tokenize
+        # The characters that byte-level BPE writes bytes as: those of Latin-1 that show, and others for the rest.
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.bytes = {b: chr(b if b in shown else next(rest)) for b in range(256)}
+        letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba"
+        runs = f"[{letters}]+|[0-9]+|[!-&(-/:-@\\[-`{{-~]+"
+        self.simple, self.runs = re.compile(f"(?:{runs})+(?:\n(?:{runs})+)*"), re.compile(f"\n|{runs}")
+        self.gaps = re.compile(r"\s\s")
+        self.words = _Memory(self.word, room)
+        self.tokens = _Memory(self.token, room)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def word(self, word: str) -> bytes:
-        if self.plain.fullmatch(word):  # one pre-token, and one character a byte
-            return np.array([t.id for t in self.model("Ġ" + word)], "<u4").tobytes()
-        if word[-1] in ".," and word[:-1].isalpha():  # letters and a mark are two pre-tokens
-            return self.words[word[:-1]] + self.mark(word[-1])
-        return self.whole(" " + word)
+    def token(self, piece: str) -> bytes:
+        """One pre-token."""
+        if not piece.isascii() or piece[0] in " \n":
+            piece = piece.encode().decode("latin-1").translate(self.bytes)
+        return np.array([t.id for t in self.model(piece)], "<u4").tobytes()
 
-    def mark(self, mark: str) -> bytes:
-        return np.array([t.id for t in self.model(mark)], "<u4").tobytes()
+    def word(self, word: str) -> bytes:
+        """A word with a space before it."""
+        if not self.simple.fullmatch(word):
+            return self.whole(" " + word)
+        first, *rest = self.runs.findall(word)
+        if not rest:
+            return self.token(" " + word)
+        return self.words[first] + b"".join(map(self.tokens.__getitem__, rest))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
-        first, *rest = text.split(" ")
-        if "" in rest or not first or any(w[0].isspace() or w[-1].isspace() for w in rest) or first[-1].isspace():
+        if text[:1].isspace() or text[-1:].isspace() or self.gaps.search(text):
             # Longer runs of white space belong to the words beside them.
             first, *rest = re.split(r"(?<=\S) (?=\S)", text)
+        else:
+            first, *rest = text.split(" ")
         return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
 
 
