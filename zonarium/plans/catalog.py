@@ -1,14 +1,417 @@
-"""The registered queries over the driver's tables and, where SQL can say the same, their DuckDB text."""
+"""The registered queries over the driver's tables and, where SQL can say the same, their DuckDB text.
+
+The tables hold no rasters, so two pixel relations stand for them. PX-L: a line item is a pixel of its supplier's zone,
+with the price in cents as value, the discount in tenths as coverage and the quantity as weight. PX-G: rectangles made
+from customers over a 100 x 100 grid of line items. All their numbers are integers in stated units, so that sums are
+exact and both engines must agree to the last bit.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from zonarium.functions import distributions as D
+from zonarium.operators import grid
+from zonarium.operators.statistics import Units, apply_function, coverage_between, one_pass, quantiles, zonal_statistics
+from zonarium.plans import spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
+BAND = "price_band_1"
+UNITS = Units(0.01, 0.1, 1.0, 10)
+GRID_UNITS = Units(0.01, 0.01, 1.0, 100)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def px_lineitem(spark: SparkSession, sf_dir: str, band: str = BAND, column: str = "l_extendedprice", scale: int = 100) -> DataFrame:
+    cover = F.round(F.col("l_discount") * 100).cast("long")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("zone_id"),
+        F.lit(band).alias("band_name"),
+        F.round(F.col(column) * scale).cast("long").alias("value"),
+        cover.alias("coverage"),
+        F.col("l_quantity").cast("long").alias("weight"),
+        ((cover == 10) | ((cover > 0) & (F.col("l_linenumber") % 2 == 0))).alias("centroid_in"),
+    )
+
+
+PX_L = """px AS (SELECT l_suppkey AS zone_id, round(l_extendedprice * 100)::BIGINT AS value, round(l_discount * 100)::BIGINT AS coverage,
+  l_quantity::BIGINT AS weight, round(l_discount * 100) = 10 OR (round(l_discount * 100) > 0 AND l_linenumber % 2 = 0) AS centroid_in FROM lineitem)"""
+
+
+def px_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    zones = table(spark, sf_dir, "customer").select(k.alias("zone_id"), (k * 37 % 900).alias("x0"), (k * 91 % 900).alias("y0"), (k * 37 % 900 + 5 + k % 7 * 7).alias("x1"), (k * 91 % 900 + 5 + k % 5 * 9).alias("y1"))
+    pixels = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy((F.col("l_orderkey") % 100).alias("col"), (F.col("l_partkey") % 100).alias("row"))
+        .agg(F.max(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("value"), F.max(F.col("l_quantity").cast("long")).alias("weight"))
+    )
+    return grid.rectangle_pixels(zones, pixels, 10).withColumn("band_name", F.lit(BAND))
+
+
+PX_G = """z AS (SELECT c_custkey AS zone_id, c_custkey * 37 % 900 AS x0, c_custkey * 91 % 900 AS y0, c_custkey * 37 % 900 + 5 + c_custkey % 7 * 7 AS x1,
+  c_custkey * 91 % 900 + 5 + c_custkey % 5 * 9 AS y1 FROM customer),
+p AS (SELECT l_orderkey % 100 AS col, l_partkey % 100 AS row, max(round(l_extendedprice * 100)::BIGINT) AS value, max(l_quantity::BIGINT) AS weight FROM lineitem GROUP BY 1, 2),
+b AS (SELECT z.*, p.value, p.weight, p.col, p.row, (least(x1, col * 10 + 10) - greatest(x0, col * 10)) * (least(y1, row * 10 + 10) - greatest(y0, row * 10)) AS coverage
+  FROM z JOIN p ON p.col * 10 < x1 AND p.col * 10 + 10 > x0 AND p.row * 10 < y1 AND p.row * 10 + 10 > y0),
+px AS (SELECT zone_id, value, weight, coverage::BIGINT AS coverage, coverage = 100 OR (x0 < col * 10 + 5 AND col * 10 + 5 < x1 AND y0 < row * 10 + 5 AND row * 10 + 5 < y1) AS centroid_in FROM b)"""
+
+
+def _rule_sql(rule: str, full: int) -> tuple[str, str]:
+    return {
+        "": ("coverage", "true"),
+        "fullyContained": ("coverage", f"coverage = {full}"),
+        "partiallyContained": ("coverage", f"coverage <> 0 AND coverage <> {full}"),
+        "boundary": (f"{full}", f"coverage <> 0 AND coverage <> {full}"),
+        "allTouched": (f"{full}", "coverage <> 0"),
+        "centroidBased": (f"CASE WHEN centroid_in THEN {full} ELSE 0 END", "true"),
+        "centroidBasedFullyContained": ("coverage", f"centroid_in AND coverage = {full}"),
+        "centroidBasedBoundary": (f"{full}", f"centroid_in AND coverage <> 0 AND coverage <> {full}"),
+    }[rule]
+
+
+def sums_sql(q: spec.Quantity, units: Units) -> str:
+    """DuckDB expression of a mean, var, std or weight over px, grouped by zone."""
+    c, where = _rule_sql(q.rule, units.full)
+    u = f"({c}) * weight" if q.weighted else f"({c})"
+    s = lambda x: f"coalesce(sum({x}) FILTER (WHERE {where}), 0)::HUGEINT"
+    w, s1, s2, sq = s(u), s(f"{u} * value"), s(f"({u})::HUGEINT * value * value"), s(f"({u}) * ({u})")
+    if q.family == "Weight":
+        x = f"{w}::DOUBLE * {units.coverage * (units.weight if q.weighted else 1.0)!r}::DOUBLE"
+    elif q.family == "Mean":
+        x = f"{s1}::DOUBLE / nullif({w}, 0)::DOUBLE * {units.value!r}::DOUBLE"
+    else:
+        # DuckDB rounds a HUGEINT's two halves one after the other; its text is rounded once.
+        top, low = f"({w} * {s2} - {s1} * {s1})::VARCHAR::DOUBLE", f"({w} * {w} - {sq})::VARCHAR::DOUBLE"
+        x = f"CASE WHEN {low} > 0 THEN greatest({top}, 0.0::DOUBLE) / {low} ELSE 'NaN'::DOUBLE END * {units.value * units.value!r}::DOUBLE"
+        x = f"sqrt({x})" if q.family == "Std" else x
+    return f"CASE WHEN {s(c)} > 0 THEN {x} END"
+
+
+def quantile_sql(rule: str, weighted: bool, levels: dict[str, Fraction], units: Units) -> str:
+    c, where = _rule_sql(rule, units.full)
+    u = f"({c}) * weight" if weighted else f"({c})"
+    picks = ", ".join(f"min(value) FILTER (WHERE cum > 0 AND cum * {q.denominator} >= tot * {q.numerator})::DOUBLE * {units.value!r}::DOUBLE AS {n}" for n, q in levels.items())
+    return f"""g AS (SELECT zone_id, value, sum({u}) AS u FROM px WHERE {where} GROUP BY 1, 2),
+r AS (SELECT zone_id, value, sum(u) OVER (PARTITION BY zone_id ORDER BY value ROWS UNBOUNDED PRECEDING) AS cum, sum(u) OVER (PARTITION BY zone_id) AS tot FROM g),
+k AS (SELECT zone_id, {picks} FROM r GROUP BY 1)
+SELECT zone_id, {', '.join('k.' + n for n in levels)} FROM (SELECT DISTINCT zone_id FROM px) LEFT JOIN k USING (zone_id)"""
+
+
+def _lists(names: list[str]) -> dict:
+    centroid = [n for n in names if "entroidBased" in n]
+    return {"quantities": [n for n in names if n not in centroid], "centroid_quantities": centroid}
+
+
+def _statistic(name: str, source: Callable, units: Units) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = zonal_statistics(source(spark, sf_dir), **_lists([name]), bands=[BAND], units=units, keep_non_intersecting=True)
+        return out.select("zone_id", F.col(f"`{BAND}_{name}`").alias("result"))
+
+    return run
+
+
+LEVELS = {"q025": Fraction(25, 1000), "q25": Fraction(1, 4), "q975": Fraction(975, 1000)}
+
+
+def _quantile(base: str, source: Callable, units: Units) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = [f"{base}-{str(float(q)).replace('.', 'p')}" for q in LEVELS.values()]
+        out = zonal_statistics(source(spark, sf_dir), **_lists(names), bands=[BAND], units=units)
+        return out.select("zone_id", *(F.col(f"`{BAND}_{n}`").alias(k) for n, k in zip(names, LEVELS, strict=True)))
+
+    return run
+
+
+for _name, (_rule, _weighted, _family) in spec.REGISTRY.items():
+    if _family in spec.OBJECTS:
+        continue
+    for _tag, _source, _px, _units in (("", px_lineitem, PX_L, UNITS), ("grid_", px_grid, PX_G, GRID_UNITS)):
+        if _tag and _name not in ("weight", "mean", "centroidBasedMedian", "unweightedBoundaryVar"):
+            continue
+        if _family == "Quantile":
+            QUERIES[f"q_{_tag}{_name}"] = _quantile(_name, _source, _units)
+            ORACLE[f"q_{_tag}{_name}"] = f"WITH {_px}, {quantile_sql(_rule, _weighted, LEVELS, _units)}"
+            continue
+        QUERIES[f"q_{_tag}{_name}"] = _statistic(_name, _source, _units)
+        if _family == "Median":
+            ORACLE[f"q_{_tag}{_name}"] = f"WITH {_px}, {quantile_sql(_rule, _weighted, {'result': Fraction(1, 2)}, _units)}"
+        else:
+            ORACLE[f"q_{_tag}{_name}"] = f"WITH {_px} SELECT zone_id, {sums_sql(spec.Quantity(_name, _rule, _weighted, _family), _units)} AS result FROM px GROUP BY zone_id"
+
+
+FLAGSHIP = [n for n, (_, _, f) in spec.REGISTRY.items() if f in ("Mean", "Var", "Std", "Weight")]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All 64 sums-based quantities of every zone in one hash aggregate."""
+    return zonal_statistics(px_lineitem(spark, sf_dir), **_lists(FLAGSHIP), bands=[BAND], units=UNITS)
+
+
+def _query(oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def _sql_of(names: list[str]) -> str:
+    return ", ".join(f'{sums_sql(spec.Quantity(n, *spec.REGISTRY[n][:2], spec.REGISTRY[n][2]), UNITS)} AS "{BAND}_{n}"' for n in names)
+
+
+@_query(f"WITH {PX_L} SELECT zone_id, {_sql_of(FLAGSHIP)} FROM px GROUP BY zone_id")
+def q_all_sums_wide(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def _two_bands(spark, sf_dir):
+    return px_lineitem(spark, sf_dir).unionByName(px_lineitem(spark, sf_dir, "tax_band_1", "l_tax", 100))
+
+
+_MEAN, _UW = spec.Quantity("mean", "", True, "Mean"), spec.Quantity("unweightedWeight", "", False, "Weight")
+
+
+@_query(
+    f"""WITH {PX_L}, t AS (SELECT l_suppkey AS zone_id, round(l_tax * 100)::BIGINT AS value, round(l_discount * 100)::BIGINT AS coverage, l_quantity::BIGINT AS weight FROM lineitem),
+a AS (SELECT zone_id, {sums_sql(_MEAN, UNITS)} AS price_band_1_mean, {sums_sql(_UW, UNITS)} AS "price_band_1_unweightedWeight" FROM px GROUP BY 1),
+b AS (SELECT zone_id, {sums_sql(_MEAN, UNITS)} AS tax_band_1_mean, {sums_sql(_UW, UNITS)} AS "tax_band_1_unweightedWeight" FROM t GROUP BY 1)
+SELECT * FROM a JOIN b USING (zone_id)"""
+)
+def q_two_band_wide(spark, sf_dir):
+    return zonal_statistics(_two_bands(spark, sf_dir), ["mean", "unweightedWeight"], bands=[BAND, "tax_band_1"], units=UNITS)
+
+
+@_query(f"WITH {PX_L}, v AS (SELECT * FROM px WHERE value NOT IN (0, 100000, 2500000) AND value % 1000 <> 0) SELECT zone_id, {sums_sql(_MEAN, UNITS).replace('px', 'v')} AS result FROM v GROUP BY zone_id")
+def q_ignore_values(spark, sf_dir):
+    px = px_lineitem(spark, sf_dir).withColumn("value", F.when(F.col("value") % 1000 == 0, 0).otherwise(F.col("value")))
+    return zonal_statistics(px, ["mean"], bands=[BAND], units=UNITS, ignore_values=(0, 100000, 2500000)).select("zone_id", F.col(f"{BAND}_mean").alias("result"))
+
+
+@_query("SELECT user_id AS zone_id, CASE WHEN count(*) FILTER (WHERE event_id % 50 <> 0) > 0 THEN (sum(round(value * 100)::BIGINT) FILTER (WHERE event_id % 50 <> 0))::DOUBLE / (count(*) FILTER (WHERE event_id % 50 <> 0))::DOUBLE * 0.01::DOUBLE END AS result FROM events GROUP BY 1")
+def q_nan_values(spark, sf_dir):
+    cents = F.round(F.col("value") * 100).cast("double")
+    px = table(spark, sf_dir, "events").select(F.col("user_id").alias("zone_id"), F.lit("e_band_1").alias("band_name"), F.when(F.col("event_id") % 50 == 0, float("nan")).otherwise(cents).alias("value"), F.lit(1.0).alias("coverage"), F.lit(1.0).alias("weight"))
+    return zonal_statistics(px, ["mean"], bands=["e_band_1"], units=Units(0.01), keep_non_intersecting=True).select("zone_id", F.col("e_band_1_mean").alias("result"))
+
+
+def _sparse(spark, sf_dir):
+    """Two bands, of which the second has no pixels in two of five zones, and the first none in one of seven."""
+    both = _two_bands(spark, sf_dir)
+    return both.where(F.when(F.col("band_name") == BAND, F.col("zone_id") % 7 != 0).otherwise(F.col("zone_id") % 5 > 1))
+
+
+def _zones(spark, sf_dir):
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone_id"), "s_name")
+
+
+def _kept(how: str, where: str) -> str:
+    return f"""WITH {PX_L}, t AS (SELECT l_suppkey AS zone_id, round(l_discount * 100)::BIGINT AS coverage FROM lineitem),
+a AS (SELECT zone_id, {sums_sql(_UW, UNITS)} AS a FROM px WHERE zone_id % 7 <> 0 GROUP BY 1), b AS (SELECT zone_id, {sums_sql(_UW, UNITS)} AS b FROM t WHERE zone_id % 5 > 1 GROUP BY 1)
+SELECT s_suppkey AS zone_id, s_name, a AS "price_band_1_unweightedWeight", b AS "tax_band_1_unweightedWeight" FROM supplier LEFT JOIN a ON s_suppkey = a.zone_id LEFT JOIN b ON s_suppkey = b.zone_id {where}"""
+
+
+def _keeping(name: str, where: str, **how) -> None:
+    def run(spark, sf_dir):
+        return zonal_statistics(_sparse(spark, sf_dir), ["unweightedWeight"], bands=[BAND, "tax_band_1"], zones=_zones(spark, sf_dir), units=UNITS, **how)
+
+    QUERIES[name], ORACLE[name] = run, _kept(name, where)
+
+
+_keeping("q_keep_none", "", keep_non_intersecting=True)
+_keeping("q_drop_all_empty", "WHERE a.zone_id IS NOT NULL OR b.zone_id IS NOT NULL")
+_keeping("q_drop_any_empty", "WHERE a.zone_id IS NOT NULL AND b.zone_id IS NOT NULL", non_intersecting_mode="anyBandNotIntersecting")
+
+
+@_query(f"WITH {PX_L}, v AS (SELECT * FROM px WHERE coverage BETWEEN 3 AND 8) SELECT zone_id, {sums_sql(_MEAN, UNITS)} AS result FROM v GROUP BY zone_id")
+def q_coverage_interval(spark, sf_dir):
+    px = px_lineitem(spark, sf_dir).where(coverage_between(3, 8))
+    return zonal_statistics(px, ["mean"], bands=[BAND], units=UNITS).select("zone_id", F.col(f"{BAND}_mean").alias("result"))
+
+
+@_query(f"WITH {PX_L} SELECT zone_id, max(value)::DOUBLE - min(value)::DOUBLE AS value_range FROM px GROUP BY zone_id")
+def q_custom_function(spark, sf_dir):
+    out = apply_function(px_lineitem(spark, sf_dir), lambda v, c, w: v.max() - v.min(), "value_range")
+    return out.select("zone_id", "value_range")
+
+
+_AREA = """6378137.0::DOUBLE * 6378137.0::DOUBLE * (1.0 - {e2}::DOUBLE) / 2.0 * radians(0.1::DOUBLE)"""
+
+
+@_query(
+    """WITH r AS (SELECT (k - 900) / 10.0::DOUBLE AS lat, k FROM generate_series(0, 1799) AS t(k)), s AS (SELECT k, lat, sin(radians(lat)) AS a, sin(radians(lat + 0.1::DOUBLE)) AS b, 0.0818191908426214957::DOUBLE AS e FROM r)
+SELECT k AS row, round(6378137.0::DOUBLE * 6378137.0::DOUBLE * (1 - e * e) / 2 * radians(0.1::DOUBLE) * ((b / (1 - e * e * b * b) + ln((1 + e * b) / (1 - e * b)) / (2 * e)) - (a / (1 - e * e * a * a) + ln((1 + e * a) / (1 - e * a)) / (2 * e))), 2) AS area FROM s"""
+)
+def q_pixel_area(spark, sf_dir):
+    from zonarium.operators.area import authalic_area
+
+    rows = spark.range(1800).select(F.col("id").alias("row"))
+    lat = (F.col("row") - 900) / F.lit(10.0)
+    return rows.select("row", F.round(authalic_area(lat, lat + 0.1, F.lit(0.1)), 2).alias("area"))
+
+
+def _empirical(spark, sf_dir, family: str = "empDist", options: dict | None = None, px=None):
+    out = zonal_statistics(px if px is not None else px_lineitem(spark, sf_dir), [{family: options or {}}], bands=[BAND], units=UNITS)
+    return out.select("zone_id", F.col(f"{BAND}_{family}").alias("d"))
+
+
+@_query(f"WITH {PX_L} SELECT zone_id, round(coalesce(sum(coverage * weight) FILTER (WHERE value <= 3000000), 0)::DOUBLE / sum(coverage * weight)::DOUBLE, 9) AS result FROM px GROUP BY zone_id HAVING sum(coverage * weight) > 0")
+def q_empdist_cdf(spark, sf_dir):
+    from zonarium.functions.empirical import cdf_of
+
+    return _empirical(spark, sf_dir).where("d is not null").select("zone_id", F.round(cdf_of(F.col("d"), F.lit(30000.0)), 9).alias("result"))
+
+
+@_query(f"WITH {PX_L}, {quantile_sql('', True, {'result': Fraction(7, 10)}, UNITS)}")
+def q_empdist_ppf(spark, sf_dir):
+    from zonarium.functions.empirical import ppf_of
+
+    return _empirical(spark, sf_dir).select("zone_id", ppf_of(F.col("d"), 0.7).alias("result"))
+
+
+@_query(f"WITH {PX_L.replace('l_suppkey AS', 'l_suppkey % 10 AS')}, {quantile_sql('', True, {'result': Fraction(4999, 10000)}, UNITS)}")
+def q_empdist_merge_quantile(spark, sf_dir):
+    from zonarium.functions.empirical import merge_objects, ppf_of
+
+    parts = _empirical(spark, sf_dir).where("d is not null").select((F.col("zone_id") % 10).alias("g"), "zone_id", "d")
+    return merge_objects(parts, "g", "d", "zone_id").select(F.col("g").alias("zone_id"), ppf_of(F.col("d"), 0.4999).alias("result"))
+
+
+_DIGEST = {f"p{i:02d}": Fraction(i, 16) for i in range(17)}
+
+
+@_query(f"WITH {PX_L}, {quantile_sql('', False, _DIGEST, UNITS)}")
+def q_empdigest_points(spark, sf_dir):
+    d = _empirical(spark, sf_dir, "unweightedEmpDigest", {"nApprox": 17})
+    return d.select("zone_id", *(F.element_at(F.col("d.data"), i + 1).alias(n) for i, n in enumerate(_DIGEST)))
+
+
+_X = "CAST(l_quantity AS DOUBLE)"
+_FITS = {
+    "normal": {"mu": "avg(x)", "sigma": "stddev_pop(x)"},
+    "lognormal": {"mu_lnx": "avg(ln(x))", "sig_lnx": "stddev_pop(ln(x))"},
+    "exponential": {"lambda": "1 / avg(x)"},
+    "uniform": {"lower": "min(x)", "upper": "max(x)"},
+    "rayleigh": {"alpha": "sqrt(sum(x * x) / (2 * count(x)))"},
+    "poisson": {"lambda": "avg(x)"},
+    "geometric": {"p": "1 / avg(x)"},
+    "binomial": {"n": "50.0::DOUBLE", "p": "avg(x) / 50"},
+    "negativebinomial": {"k": "round(avg(x) * (avg(x) / (avg(x) + var_pop(x))))", "p": "round(avg(x) * (avg(x) / (avg(x) + var_pop(x)))) / avg(x)"},
+    "pareto": {"x_m": "min(x)", "alpha": "count(x) / (sum(ln(x)) - count(x) * ln(min(x)))"},
+}
+
+
+def _fit(name: str) -> Callable:
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("zone_id"))
+        made = D.fit_columns(name, F.col("l_quantity"), 50 if name == "binomial" else None)
+        return rows.agg(*(F.round(c, 7).alias(f"par_{k}") for k, c in made.items()))
+
+    return run
+
+
+for _name, _parts in _FITS.items():
+    QUERIES[f"q_fit_{_name}"] = _fit(_name)
+    ORACLE[f"q_fit_{_name}"] = f"WITH s AS (SELECT l_suppkey AS zone_id, {_X} AS x FROM lineitem) SELECT zone_id, {', '.join(f'round({e}, 7) AS par_{k}' for k, e in _parts.items())} FROM s GROUP BY 1"
+
+
+def _searched(name: str) -> Callable:
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "events").select((F.col("user_id") % 20).alias("g"), (F.col("value") + 0.01).alias("x"))
+        top = rows.agg(F.max("x")).first()[0]
+        extra = {"beta": (0.0, top + 1), "truncatednormal": (0.0, top + 1)}.get(name, ())
+        out = D.fit_groups(rows, ["g"], "x", name, extra)
+        return out.select("g", F.explode("par").alias("parameter", "estimate"))
+
+    return run
+
+
+for _name in ("gamma", "weibull", "frechet", "gumbel", "gumbelmin", "gev", "gevmin", "beta", "truncatednormal", "chisquare"):
+    QUERIES[f"q_fit_{_name}"] = _searched(_name)
+
+_CLOSED = {
+    "exponential": ({"lambda": 0.04}, "1 - exp(-0.04::DOUBLE * greatest(x, 0))", "-ln(1 - y) / 0.04::DOUBLE"),
+    "uniform": ({"lower": 1, "upper": 50}, "least(greatest((x - 1) / 49.0::DOUBLE, 0), 1)", "1 + y * 49.0::DOUBLE"),
+    "rayleigh": ({"alpha": 20}, "1 - exp(-0.5::DOUBLE * pow(greatest(x, 0) / 20.0::DOUBLE, 2))", "20.0::DOUBLE * sqrt(-2 * ln(1 - y))"),
+    "weibull": ({"a_n": 28, "k": 1.8}, "1 - exp(-pow(greatest(x, 0) / 28.0::DOUBLE, 1.8::DOUBLE))", "28.0::DOUBLE * pow(-ln(1 - y), 1 / 1.8::DOUBLE)"),
+    "gumbel": ({"a_n": 11, "b_n": 19}, "exp(-exp(-(x - 19) / 11.0::DOUBLE))", "19 - 11.0::DOUBLE * ln(-ln(y))"),
+    "gumbelmin": ({"a_n": 11, "b_n": 32}, "1 - exp(-exp((x - 32) / 11.0::DOUBLE))", "32 + 11.0::DOUBLE * ln(-ln(1 - y))"),
+    "frechet": ({"a_n": 14, "k": 2.5}, "exp(-pow(x / 14.0::DOUBLE, -2.5::DOUBLE))", "14.0::DOUBLE * pow(-ln(y), -1 / 2.5::DOUBLE)"),
+    "pareto": ({"x_m": 1, "alpha": 0.4}, "1 - pow(greatest(x, 1) / 1.0::DOUBLE, -0.4::DOUBLE)", "pow(1 - y, -1 / 0.4::DOUBLE)"),
+    "gev": ({"beta": 0.1, "alpha": 11, "epsilon": 19}, "CASE WHEN 1 + 0.1::DOUBLE * (x - 19) / 11.0::DOUBLE > 0 THEN exp(-pow(1 + 0.1::DOUBLE * (x - 19) / 11.0::DOUBLE, -1 / 0.1::DOUBLE)) ELSE 0 END", "19 + 11.0::DOUBLE * (pow(-ln(y), -0.1::DOUBLE) - 1) / 0.1::DOUBLE"),
+    "geometric": ({"p": 0.04}, "1 - pow(1 - 0.04::DOUBLE, greatest(floor(x), 0))", None),
+}
+
+
+def _closed(name: str, par: dict, inverse: bool) -> Callable:
+    def run(spark, sf_dir):
+        rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_quantity").cast("double").alias("x"))
+        y = F.col("x") / 51.0
+        return rows.select("l_orderkey", "l_linenumber", F.round(D.icdf_column(name, par, y) if inverse else D.cdf_column(name, par, F.col("x")), 7).alias("result"))
+
+    return run
+
+
+for _name, (_par, _cdf, _icdf) in _CLOSED.items():
+    for _tag, _e in (("cdf", _cdf), ("icdf", _icdf)):
+        if _e:
+            QUERIES[f"q_{_tag}_{_name}"] = _closed(_name, _par, _tag == "icdf")
+            ORACLE[f"q_{_tag}_{_name}"] = f"WITH s AS (SELECT l_orderkey, l_linenumber, {_X} AS x, {_X} / 51 AS y FROM lineitem) SELECT l_orderkey, l_linenumber, round({_e}, 7) AS result FROM s"
+
+
+@_query(f"WITH {PX_L} SELECT zone_id, count(*) AS n, sum(value)::BIGINT AS total FROM px GROUP BY zone_id")
+def q_stringify(spark, sf_dir):
+    from zonarium.sources.tables import destringify, stringify
+
+    arrays = px_lineitem(spark, sf_dir).groupBy("zone_id").agg(F.collect_list("value").alias("values"))
+    back = destringify(stringify(arrays), {"values": "array<bigint>"})
+    return back.select("zone_id", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+@_query()
+def q_polygon_clip(spark, sf_dir):
+    """Triangles from customers over the grid: coverage by exact clipping, then statistics."""
+    from zonarium.operators.polygons import zone_pixels
+
+    k = F.col("c_custkey")
+    x, y = (k * 37 % 900) / 10.0, (k * 91 % 900) / 10.0
+    zones = table(spark, sf_dir, "customer").select(k.alias("zone_id"), F.format_string("POLYGON((%s %s, %s %s, %s %s, %s %s))", x, y, x + 3.7, y + 0.4, x + 1.2, y + 4.1, x, y).alias("geometry"))
+    pixels = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("col"), (F.col("l_partkey") % 100).alias("row")).agg(F.max("l_extendedprice").alias("value"))
+    px = zone_pixels(zones, grid.Affine()).join(pixels, ["col", "row"]).withColumns({"weight": F.lit(1.0), "band_name": F.lit(BAND)})
+    return zonal_statistics(px, ["mean", "weight", "boundaryMean"], ["centroidBasedWeight"], bands=[BAND])
+
+
+@_query()
+def q_kde(spark, sf_dir):
+    from zonarium.functions.empirical import pdf_of
+
+    return _empirical(spark, sf_dir, "empDist", {"pdfMethod": "kde"}).where("d is not null").select("zone_id", pdf_of(F.col("d"), F.lit(30000.0)).alias("density"))
+
+
+@_query()
+def q_random(spark, sf_dir):
+    return D.random_rows(spark, D.Distribution("weibull", "PAR", [28, 1.8]), 1000)
+
+
+@_query()
+def q_nataf(spark, sf_dir):
+    """Standard-normal coordinates of quantities and prices under a Gaussian copula, row by row."""
+    from zonarium.functions.joint import JointDistribution
+
+    joint = JointDistribution([D.Distribution("uniform", "PAR", [0, 51]), D.Distribution("gumbel", "PAR", [12000, 24000])], [[1, 0.5], [0.5, 1]])
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x1"), F.col("l_extendedprice").alias("x2"))
+    return joint.transform(rows, ["x1", "x2"], "x_to_u")
+
+
+_ = one_pass, quantiles
