@@ -261,6 +261,8 @@ def reproject(zones: DataFrame, source: str, target: str) -> DataFrame:
 def centroid_coverage(pixels: DataFrame, zones: DataFrame) -> DataFrame:
     """pixels (zone_id, coverage, center_x, center_y, ...) with centroid_in: fully covered, or the centre strictly inside."""
 
+    names = pixels.columns
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, None)
         for batch in batches:
@@ -269,7 +271,7 @@ def centroid_coverage(pixels: DataFrame, zones: DataFrame) -> DataFrame:
                 if known[0] is not value and known[0] != value:
                     known = (value, parse_geometry(value))
                 out.append(c == 1.0 or bool(strictly_inside(known[1], np.array([x]), np.array([y]))[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(n) for n in pixels.columns] + [pa.array(out, pa.bool_())], names=[*pixels.columns, "centroid_in"])
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(out, pa.bool_())], names=[*names, "centroid_in"])
 
     joined = pixels.join(zones.select("zone_id", F.col("geometry").alias("_geometry")), "zone_id")
     return joined.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in pixels.dtypes) + ", centroid_in boolean")
