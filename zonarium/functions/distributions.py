@@ -68,22 +68,29 @@ class Family:
         m, s = self.mean(), self.std()
         m, s = (m, s) if math.isfinite(m) and math.isfinite(s) and s > 0 else (0.0, 1.0)
 
-        def one(p: float) -> float:
-            if math.isnan(p) or p < 0 or p > 1:
-                return math.nan
-            if p in (0.0, 1.0):
-                return lo if p == 0 else hi
-            a = lo if math.isfinite(lo) else m - s
-            b = hi if math.isfinite(hi) else m + s
-            step = s
-            while not math.isfinite(lo) and float(self.cdf(a)) > p:
-                a, step = a - step, step * 2
-            step = s
-            while not math.isfinite(hi) and float(self.cdf(b)) < p:
-                b, step = b + step, step * 2
-            return S.bisect(lambda x: float(self.cdf(x)) - p if float(self.cdf(x)) != p else 0.0, a, b) if float(self.cdf(a)) < p else a
-
-        return np.vectorize(one, otypes=[float])(np.asarray(y, float))
+        p = np.asarray(y, float)
+        flat = p.ravel()
+        x = np.full(len(flat), math.nan)
+        x[flat == 0], x[flat == 1] = lo, hi
+        at = np.flatnonzero((flat > 0) & (flat < 1))
+        a, b, now = np.full(len(at), lo), np.full(len(at), hi), np.full(len(at), min(max(m, lo), hi))
+        step = s
+        # Newton's steps, held within what is known to lie below and above; open ends are searched by doubling.
+        for _ in range(400):
+            if not len(at):
+                break
+            gap = self.cdf(now) - flat[at]
+            a, b = np.where(gap < 0, now, a), np.where(gap >= 0, now, b)
+            with np.errstate(all="ignore"):
+                new = now - gap / self.pdf(now)
+                middle = np.where(np.isfinite(a) & np.isfinite(b), 0.5 * (a + b), np.where(np.isfinite(a), a + step, b - step))
+                new = np.where((new > a) & (new < b) & (np.abs(new - now) < np.where(np.isfinite(b - a), 0.5 * (b - a), step)), new, middle)
+            step *= 2
+            x[at] = now
+            done = (np.abs(gap) < 1e-15) | (new == now) | (b - a <= 4e-16 * np.abs(now))
+            x[at[~done]] = new[~done]
+            at, a, b, now = at[~done], a[~done], b[~done], new[~done]
+        return x.reshape(p.shape)
 
     def logpdf_sum(self, x: np.ndarray) -> float:
         with np.errstate(all="ignore"):
@@ -104,25 +111,21 @@ class Discrete(Family):
             return np.where((k == x) & (x >= self.first), self.pmf(np.maximum(k, self.first)), 0.0)
 
     def icdf(self, y):
-        def one(p: float) -> float:
-            if math.isnan(p) or p < 0 or p > 1:
-                return math.nan
-            if p == 0:
-                return self.first - 1
-            hi = self.first
-            top = self.limits()[1]
-            if p == 1:
-                return top
-            step = 1
-            while float(self.cdf(hi)) < p:
-                hi, step = min(hi + step, top), step * 2
-            lo = self.first - 1
-            while hi - lo > 1:
-                mid = (lo + hi) // 2
-                lo, hi = (lo, mid) if float(self.cdf(mid)) >= p else (mid, hi)
-            return hi
-
-        return np.vectorize(one, otypes=[float])(np.asarray(y, float))
+        """The least whole number whose cdf reaches y; one below the first at 0."""
+        p = np.asarray(y, float)
+        inner = p[(p > 0) & (p < 1)]
+        first, top = int(self.first), self.limits()[1]
+        hi = first
+        while inner.size and float(self.cdf(hi)) < inner.max() and hi < top:
+            hi = int(min(2 * hi + 1 - first, top))
+        lo, up = np.full(p.shape, first - 1), np.full(p.shape, hi)
+        while (up - lo > 1).any():
+            middle = (lo + up) // 2
+            reached = self.cdf(middle) >= p
+            lo, up = np.where(reached, lo, np.maximum(middle, lo)), np.where(reached, middle, up)
+            up = np.maximum(up, lo + 1)
+        out = np.where(p == 0, first - 1, np.where(p == 1, top, up.astype(float)))
+        return np.where((p < 0) | (p > 1) | np.isnan(p), math.nan, out)
 
 
 class Normal(Family):
