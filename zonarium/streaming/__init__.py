@@ -1 +1 @@
-
+"""Zonal sums over pixel streams."""
