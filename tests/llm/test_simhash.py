@@ -90,3 +90,7 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (None, "a"), (2, "b")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.component_id) for r in S.simhash_classes(df).collect()) == [(0, 1), (1, 1), (1, 1), (2, 2)]
     assert sorted(r.doc_id for r in S.one_of_each(df).collect()) == [1, 2]
+    far = [" ".join(f"{c}{i}" for i in range(30)) for c in "abc"]
+    df = spark.createDataFrame([(None, far[0], "x"), (None, far[1], "x"), (None, far[1], "x"), (7, far[2], "y"), (7, far[0], "z")], "doc_id long, text string, _row string")
+    kept = S.one_of_each(df)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, far[1]), (7, far[2]), (7, far[0])])

@@ -54,7 +54,7 @@ def _fingerprints(words: int, seed: int):
             for lo in range(0, whole.num_rows, 1000):
                 batch = whole.slice(lo, 1000)
                 fp = np.array([fingerprint(t, words, seed) for t in C.column(batch, "text")], C.U64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(fp.view(np.int64))], names=["doc_id", "h", "fp"])
 
     return run
 
@@ -178,6 +178,18 @@ def near_pairs(fps: DataFrame, budget: int = 4, blocks: int = 6, hot_bucket: int
     raise RuntimeError("buckets did not get small enough")
 
 
+def _classes(docs: DataFrame, words: int, budget: int, seed: int, blocks: int, hot_bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, fp) of each row, h being a hash of its text, and (fp, component, component_id) of each fingerprint."""
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    rows = C.materialize(source.mapInArrow(_fingerprints(words, seed), "doc_id long, h long, fp long"), "fingerprints")
+    values = C.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
+    pairs = near_pairs(values.select("fp"), budget, blocks, hot_bucket)
+    classes = C.components(pairs)
+    values = values.join(classes, values.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    names = values.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows, values.join(names, "component").select("fp", "component", "component_id")
+
+
 def simhash_classes(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42, blocks: int = 6, hot_bucket: int = 5000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id: one row per row of docs.
 
@@ -186,29 +198,28 @@ def simhash_classes(docs: DataFrame, words: int = 4, budget: int = 4, seed: int
     never names a component unless all its members are null. Equal fingerprints are joined as one value, so copies cost
     one row. Other columns are not read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = C.materialize(source.mapInArrow(_fingerprints(words, seed), "doc_id long, fp long"), "fingerprints")
-    values = C.materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "values")
-    pairs = near_pairs(values.select("fp"), budget, blocks, hot_bucket)
-    classes = C.components(pairs)
-    values = values.join(classes, values.fp == classes.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    names = values.groupBy("component").agg(F.min("least").alias("component_id"))
-    values = values.join(names, "component").select("fp", "component_id")
+    rows, values = _classes(docs, words, budget, seed, blocks, hot_bucket)
     return rows.join(values, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose doc_id is its component's smallest, one row of each component; all columns stay.
+def one_of_each(docs: DataFrame, words: int = 4, budget: int = 4, seed: int = 42, blocks: int = 6, hot_bucket: int = 5000) -> DataFrame:
+    """One row of docs of each component, with all its columns: that of the smallest doc_id.
 
-    Of several rows with that doc_id the one of least text hash stays.
+    A null doc_id comes after all others; of rows of equal doc_id the one of least text hash stays, of repeated rows
+    any one.
     """
-    classes = simhash_classes(docs, **options)
-    first = classes.select(F.col("component_id").alias("_keep")).distinct()
-    kept = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_keep"))).drop("_keep")
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    if repeated.isEmpty():
+    rows, values = _classes(docs, words, budget, seed, blocks, hot_bucket)
+    first = rows.join(values, "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "h")).alias("k"))
+    first = C.materialize(first.select(F.col("k.doc_id").alias("_keep"), F.col("k.h").alias("_h")), "kept")
+    same = lambda a, b: F.coalesce(F.col(a).cast("long"), F.lit(0)) == F.coalesce(F.col(b), F.lit(0))
+    is_row = same("doc_id", "_keep") & F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.xxhash64("text") == F.col("_h"))
+    repeated = rows.groupBy("doc_id", "h").count().where("count > 1").select(F.col("doc_id").alias("_keep"), F.col("h").alias("_h"))
+    matched = lambda a, b: a["_keep"].eqNullSafe(b["_keep"]) & (a["_h"] == b["_h"])
+    once, twice = first.join(repeated, matched(first, repeated), "left_anti"), first.join(repeated, matched(first, repeated), "left_semi")
+    kept = docs.join(once, is_row, "left_semi")
+    if twice.isEmpty():
         return kept
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").withColumnRenamed("doc_id", "_id")
-    single = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-    again = kept.join(twice, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return single.unionByName(again.dropDuplicates(["doc_id"]))
+    # Of rows repeated whole one is taken; copies of a hot row meet only as (doc_id, text hash) in a partial aggregate.
+    again = docs.join(twice, is_row, "left_semi")
+    flat = again.groupBy(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("_a"), F.col("doc_id").isNull().alias("_b"), F.xxhash64("text").alias("_c")).agg(F.first(F.struct(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+    return kept.unionByName(flat.select("_row.*"))
