@@ -94,3 +94,10 @@ def test_empty_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, far[0], "x"), (None, far[1], "x"), (None, far[1], "x"), (7, far[2], "y"), (7, far[0], "z")], "doc_id long, text string, _row string")
     kept = S.one_of_each(df)
     assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(0, far[1]), (7, far[2]), (7, far[0])])
+
+
+def test_long_text(monkeypatch):
+    text = " ".join("w%d" % (i * 7919 % 9973) for i in range(5000))
+    want = S.fingerprint(text)
+    monkeypatch.setattr(S, "_CHUNK", 700)
+    assert S.fingerprint(text) == want == slow(text)

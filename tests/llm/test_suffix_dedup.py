@@ -53,3 +53,31 @@ def test_empty_table_and_repeated_ids(spark):
     df = spark.createDataFrame([(None, t), (5, t), (5, t), (6, "short")], "doc_id long, text string")
     got = sorted(((r.doc_id or -1), r.n_removed) for r in repeated_bytes(df, with_text=True).collect())
     assert got == [(-1, len(t)), (5, len(t)), (5, len(t)), (6, 0)]
+
+
+def test_long_texts_are_cut_into_pieces(monkeypatch):
+    """However a long text is cut, each string is in one run, and equal strings get equal keys and places in them."""
+    import numpy as np
+
+    from zonarium.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(4)
+    part = rng.integers(0, 3, 300).astype(np.uint8)
+    data = np.concatenate([part, rng.integers(0, 3, 500).astype(np.uint8), part, np.zeros(200, np.uint8), part])
+
+    def strings():
+        out = {}
+        for key, _, first, n, lead in zip(*S.runs_of(data, 40, 20), strict=True):
+            for k in range(n):
+                assert first + k not in out
+                out[int(first + k)] = (int(key), int(lead) - k)
+        return out
+
+    whole = strings()
+    assert sorted(whole) == list(range(len(data) - 39))
+    monkeypatch.setattr(S, "_PIECE", 97)
+    assert strings() == whole
+    by = {}
+    for i, k in whole.items():
+        by.setdefault(data[i : i + 40].tobytes(), set()).add(k)
+    assert all(len(v) == 1 for v in by.values())
