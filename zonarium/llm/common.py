@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,12 +23,16 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset and Spark is local."""
+    """The folder all executors share, from spark.checkpoint.dir.
+
+    Only where that is unset and Spark runs in one process, a folder of this process's own, removed when it ends.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        path = os.path.join(tempfile.gettempdir(), "zonarium-shared")
+        path = tempfile.mkdtemp(prefix="zonarium-")
+        atexit.register(shutil.rmtree, path, True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path
 
