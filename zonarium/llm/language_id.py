@@ -28,7 +28,7 @@ from . import common as C
 ORDER = 4
 DISCOUNT = 0.75
 MAX_DOCS, MAX_CHARS, TOTAL_CHARS = 2000, 4_000_000, 40_000_000
-SLACK = 1.0
+SLACK = 2.0
 PAD = " " * (ORDER - 1)
 
 
