@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from zonarium.functions import distributions as D
 from zonarium.operators import grid
-from zonarium.operators.statistics import Units, apply_function, coverage_between, one_pass, quantiles, zonal_statistics
+from zonarium.operators.statistics import Units, apply_function, coverage_between, zonal_statistics
 from zonarium.plans import spec
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -216,7 +216,7 @@ def _zones(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("zone_id"), "s_name")
 
 
-def _kept(how: str, where: str) -> str:
+def _kept(where: str) -> str:
     return f"""WITH {PX_L}, t AS (SELECT l_suppkey AS zone_id, round(l_discount * 100)::BIGINT AS coverage FROM lineitem),
 a AS (SELECT zone_id, {sums_sql(_UW, UNITS)} AS a FROM px WHERE zone_id % 7 <> 0 GROUP BY 1), b AS (SELECT zone_id, {sums_sql(_UW, UNITS)} AS b FROM t WHERE zone_id % 5 > 1 GROUP BY 1)
 SELECT s_suppkey AS zone_id, s_name, a AS "price_band_1_unweightedWeight", b AS "tax_band_1_unweightedWeight" FROM supplier LEFT JOIN a ON s_suppkey = a.zone_id LEFT JOIN b ON s_suppkey = b.zone_id {where}"""
@@ -226,7 +226,7 @@ def _keeping(name: str, where: str, **how) -> None:
     def run(spark, sf_dir):
         return zonal_statistics(_sparse(spark, sf_dir), ["unweightedWeight"], bands=[BAND, "tax_band_1"], zones=_zones(spark, sf_dir), units=UNITS, **how)
 
-    QUERIES[name], ORACLE[name] = run, _kept(name, where)
+    QUERIES[name], ORACLE[name] = run, _kept(where)
 
 
 _keeping("q_keep_none", "", keep_non_intersecting=True)
@@ -246,9 +246,6 @@ def q_custom_function(spark, sf_dir):
     return out.select("zone_id", "value_range")
 
 
-_AREA = """6378137.0::DOUBLE * 6378137.0::DOUBLE * (1.0 - {e2}::DOUBLE) / 2.0 * radians(0.1::DOUBLE)"""
-
-
 @_query(
     """WITH r AS (SELECT (k - 900) / 10.0::DOUBLE AS lat, k FROM generate_series(0, 1799) AS t(k)), s AS (SELECT k, lat, sin(radians(lat)) AS a, sin(radians(lat + 0.1::DOUBLE)) AS b, 0.0818191908426214957::DOUBLE AS e FROM r)
 SELECT k AS row, round(6378137.0::DOUBLE * 6378137.0::DOUBLE * (1 - e * e) / 2 * radians(0.1::DOUBLE) * ((b / (1 - e * e * b * b) + ln((1 + e * b) / (1 - e * b)) / (2 * e)) - (a / (1 - e * e * a * a) + ln((1 + e * a) / (1 - e * a)) / (2 * e))), 2) AS area FROM s"""
@@ -412,6 +409,3 @@ def q_nataf(spark, sf_dir):
     joint = JointDistribution([D.Distribution("uniform", "PAR", [0, 51]), D.Distribution("gumbel", "PAR", [12000, 24000])], [[1, 0.5], [0.5, 1]])
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("x1"), F.col("l_extendedprice").alias("x2"))
     return joint.transform(rows, ["x1", "x2"], "x_to_u")
-
-
-_ = one_pass, quantiles
