@@ -34,7 +34,7 @@ def test_sample_meets_targets(spark):
     joined = {r.doc_id: r for r in M.mixture(df, targets, 0.4, M.F.col("topic"), driver_cells=0).collect()}
     assert here.keys() == joined.keys()
     assert all(here[d].probability == pytest.approx(joined[d].probability, abs=1e-4) for d in here)
-    total = df.select(M.tokens_of(M.F.col("text")).alias("n")).groupBy().sum().first()[0]
+    total = sum(r.text.count(" ") + 1 for r in df.collect())
     kept = sum(r.n_tokens for r in here.values())
     assert kept == pytest.approx(0.4 * total, rel=0.05)
     for d, goal in (("source", {"a": 0.5, "b": 0.25, None: 0.25}), ("lang", {"en": 0.5, "fr": 0.5})):
@@ -53,3 +53,9 @@ def test_edges(spark):
     assert len(got) == 4 and all(r.probability == 1 for r in got)
     assert sorted(r.n_tokens for r in got) == [0, 0, 0, 100]
     assert M.sample_mixture(df, fraction=1.0).columns == df.columns
+
+
+def test_counts():
+    of = lambda t: M.counts_of(np.frombuffer(t.encode(), np.uint8))
+    assert of("") == (0, "empty") and of("é x\ty") == (3, "short")
+    assert of("word " * 60) == (61, "prose") and of("word\n" * 60)[1] == "lines" and of("12345 wo " * 60)[1] == "numbers" and of("wo*** " * 60)[1] == "symbols"

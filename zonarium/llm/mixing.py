@@ -11,7 +11,10 @@ show: empty, short, symbols, numbers, lines or prose. Default targets flatten wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,24 +28,45 @@ DRIVER_CELLS = 100_000
 _ROUNDS, _CLOSE = 200, 1e-9
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.char_length(text) - F.char_length(F.translate(text, characters, ""))
+_SYMBOLS = np.frombuffer(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", np.uint8)
+_DIGITS, _SPACES = np.frombuffer(b"0123456789", np.uint8), np.frombuffer(b" \n\t\r", np.uint8)
+
+
+def counts_of(raw: np.ndarray) -> tuple[int, str]:
+    """Tokens and genre of a text's UTF-8 bytes."""
+    n = np.bincount(raw, minlength=256)
+    size = len(raw) - int(n[0x80:0xC0].sum())  # code points: bytes that continue none
+    if not size:
+        return 0, "empty"
+    words, lines = int(n[_SPACES].sum()) + 1, int(n[10]) + 1
+    if words < 50:
+        return words, "short"
+    if n[_SYMBOLS].sum() * 10 > size:
+        return words, "symbols"
+    if n[_DIGITS].sum() * 20 > size:
+        return words, "numbers"
+    return words, "lines" if size < lines * 120 else "prose"
 
 
-def tokens_of(text: Column) -> Column:
-    return F.when(F.coalesce(F.char_length(text), F.lit(0)) == 0, 0).otherwise(_without(text, " \n\t\r") + 1).cast("long")
+def _count(given: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                data, offsets, _ = C.text_bytes(batch, "_text")
+                found = [counts_of(data[offsets[i] : offsets[i + 1]]) for i in range(batch.num_rows)]
+                topic = batch.column("_topic") if given else pa.array([t for _, t in found], pa.string())
+                rest = [n for n in batch.schema.names if n not in ("_text", "_topic")]
+                yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in rest), topic, pa.array([n for n, _ in found], pa.int64())], names=[*rest, "_topic", "_tokens"])
 
+    return run
 
-def topic_of(text: Column) -> Column:
-    size, words, lines = F.char_length(text), _without(text, " \n\t\r") + 1, _without(text, "\n") + 1
-    return (
-        F.when(F.coalesce(size, F.lit(0)) == 0, "empty")
-        .when(words < 50, "short")
-        .when(_without(text, "!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~") * 10 > size, "symbols")
-        .when(_without(text, "0123456789") * 20 > size, "numbers")
-        .when(size < lines * 120, "lines")
-        .otherwise("prose")
-    )
+
+def _counted(docs: DataFrame, topic: Column | None, row: Column | None) -> DataFrame:
+    """[_row,] _source, _lang, _topic, _tokens of each row."""
+    named = docs.select(*([row.alias("_row")] if row is not None else []), F.col("text").alias("_text"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), (F.lit(None).cast("string") if topic is None else topic).alias("_topic"))
+    kind = f"_row {named.schema['_row'].dataType.simpleString()}, " if row is not None else ""
+    return named.mapInArrow(_count(topic is not None), kind + "_source string, _lang string, _topic string, _tokens long")
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
@@ -134,16 +158,18 @@ def _rake_joined(cells: DataFrame, targets: dict[str, dict], fraction: float) ->
     return now.select(*DIMENSIONS, F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("w") * high / F.col("tokens"))).otherwise(1.0).alias("probability"))
 
 
-def _sampled(docs: DataFrame, targets: dict[str, dict] | None, fraction: float, topic: Column | None, seed: int, driver_cells: int) -> DataFrame:
-    named = docs.select(F.struct("*").alias("_row"), tokens_of(F.col("text")).alias("_tokens"), F.col("source").alias("_source"), F.col("lang").alias("_lang"), (topic_of(F.col("text")) if topic is None else topic).alias("_topic"))
-    cells = named.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).toDF(*DIMENSIONS, "tokens")
+def _probabilities(counted: DataFrame, targets: dict[str, dict] | None, fraction: float, driver_cells: int) -> tuple[DataFrame, bool]:
+    cells = counted.groupBy("_source", "_lang", "_topic").agg(F.sum("_tokens").alias("tokens")).toDF(*DIMENSIONS, "tokens")
     cells = C.materialize(cells, "cells")
     few = cells.count() <= driver_cells
     p = (_rake_here if few else _rake_joined)(cells, targets or {}, fraction)
-    p = p.select(*(F.col(d).alias(f"_{d}2") for d in DIMENSIONS), F.col("probability").alias("_probability"))
+    return p.select(*(F.col(d).alias(f"_{d}2") for d in DIMENSIONS), F.col("probability").alias("_probability")), few
+
+
+def _draw(counted: DataFrame, probabilities: DataFrame, few: bool, seed: int) -> DataFrame:
     same = [F.col(f"_{d}").eqNullSafe(F.col(f"_{d}2")) for d in DIMENSIONS]
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_row.doc_id", "_row.text"), 11) / float(1 << 53)
-    return named.join(F.broadcast(p) if few else p, same[0] & same[1] & same[2]).where(u < F.col("_probability"))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_row.doc_id", "_row.hash"), 11) / float(1 << 53)
+    return counted.join(F.broadcast(probabilities) if few else probabilities, same[0] & same[1] & same[2]).where(u < F.col("_probability"))
 
 
 def mixture(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float = FRACTION, topic: Column | None = None, seed: int = 1, driver_cells: int = DRIVER_CELLS) -> DataFrame:
@@ -152,10 +178,13 @@ def mixture(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: f
     Null sources, languages and topics are categories of their own. Cells without tokens are kept whole; cells of a
     category with target 0 are dropped. The draw depends on doc_id, text and seed only, so repeated rows share it.
     """
-    narrow = docs.select("doc_id", "text", "source", "lang", (topic_of(F.col("text")) if topic is None else topic).alias("topic"))
-    return _sampled(narrow, targets, fraction, F.col("topic"), seed, driver_cells).select("_row.doc_id", "_row.source", "_row.lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability"))
+    counted = C.materialize(_counted(docs, topic, F.struct("doc_id", F.xxhash64("text").alias("hash"))), "counted")
+    drawn = _draw(counted, *_probabilities(counted, targets, fraction, driver_cells), seed)
+    return drawn.select("_row.doc_id", F.col("_source").alias("source"), F.col("_lang").alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"), F.col("_probability").alias("probability"))
 
 
 def sample_mixture(docs: DataFrame, targets: dict[str, dict] | None = None, fraction: float = FRACTION, topic: Column | None = None, seed: int = 1, driver_cells: int = DRIVER_CELLS) -> DataFrame:
-    """The sampled rows of docs with all their columns."""
-    return _sampled(docs, targets, fraction, topic, seed, driver_cells).select("_row.*")
+    """The sampled rows of docs with all their columns; the texts are counted twice rather than stored or moved."""
+    probabilities = _probabilities(_counted(docs, topic, None), targets, fraction, driver_cells)
+    row = F.struct("doc_id", F.xxhash64("text").alias("hash"), F.struct("*").alias("all"))
+    return _draw(_counted(docs, topic, row), *probabilities, seed).select("_row.all.*")
