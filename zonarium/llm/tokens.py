@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -42,17 +43,24 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(v)
     if not n:
         return np.zeros(0, C.U64)
-    chosen = np.full(n, ESCAPE, np.int64)
-    place = np.arange(n)
+    chosen = np.full(n, ESCAPE, np.int8)
+    # Bits of each id; frexp is exact up to 2**53 and rounds only what no selector but the widest could hold.
+    size = np.frexp(v.astype(float))[1].astype(np.int8)
+    size[(v >> C.U64(53)) != 0] = 60
+    size[(v >> C.U64(60)) != 0] = 64
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[s]
-        wide = v >> C.U64(bits) != 0
-        # The next id at or after each place that is too wide; beyond the end nothing is.
-        following = np.minimum.accumulate(np.where(wide, place, n + 64)[::-1])[::-1]
-        fits = following - place >= count
-        if not fits.any():
+        # Places from which `count` ids in a row are narrow enough; beyond the end all are.
+        narrow = np.flatnonzero(size <= bits)
+        if len(narrow) == n:
+            chosen[:] = s
+            continue
+        narrow = np.concatenate([narrow, np.arange(n, n + count - 1)])
+        starts = narrow[: len(narrow) - count + 1]
+        starts = starts[narrow[count - 1 :] - starts == count - 1]
+        if not len(starts):
             break
-        chosen[fits] = s
+        chosen[starts] = s
     takes = np.array([c for c, _ in SELECTORS] + [0, 1])[chosen].tolist()
     at, starts = 0, []
     while at < n:
@@ -171,14 +179,15 @@ def read_shard(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 
 
 class _Memory(dict):
-    """What `make` gives for each key; cleared when it holds `room` keys."""
+    """What `make` gives for each key, in two generations of up to `room` keys: a full one replaces the one before it."""
 
     def __init__(self, make, room: int) -> None:
-        self.make, self.room = make, room
+        self.make, self.room, self.before = make, room, {}
 
     def __missing__(self, key: str) -> bytes:
-        made = self.make(key)
+        made = self.before.get(key) or self.make(key)
         if len(self) >= self.room:
+            self.before = dict(self)
             self.clear()
         self[key] = made
         return made
@@ -190,10 +199,10 @@ class Encoder:
     A space between two non-space characters always begins a new pre-token of this byte-level BPE, so a text's ids are
     those of its words, all but the first with a leading space. Words of letters, digits and ASCII marks other than the
     apostrophe fall into runs of one kind, each a pre-token that goes to the library's model; all other words go to the
-    library whole, as do texts that hold the string of an added token. Memories of words are cleared at `room` keys.
+    library whole, as do texts that hold the string of an added token. Memories of words are bounded by `room`.
     """
 
-    def __init__(self, path: str, room: int = 700_000) -> None:
+    def __init__(self, path: str, room: int = 450_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -216,12 +225,17 @@ class Encoder:
 
     def token(self, piece: str) -> bytes:
         """One pre-token."""
-        if not piece.isascii() or piece[0] in " \n":
+        if not piece.isascii() or piece == "\n":
             piece = piece.encode().decode("latin-1").translate(self.bytes)
-        return np.array([t.id for t in self.model(piece)], "<u4").tobytes()
+        elif piece[0] == " ":
+            piece = "Ġ" + piece[1:]
+        ids = [t.id for t in self.model(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
         """A word with a space before it."""
+        if word.isascii() and word.isalpha():
+            return self.token(" " + word)
         if not self.simple.fullmatch(word):
             return self.whole(" " + word)
         first, *rest = self.runs.findall(word)
