@@ -77,3 +77,18 @@ def test_edges(spark):
     assert got[None][0].held_out is False and got[None][0].lang_pred == "en" and len(got[3]) == 3
     none = spark.createDataFrame([(1, "abc", None, None)], schema)
     assert [(r.lang_pred, r.score) for r in L.identify(none).collect()] == [("und", 0.0)]
+
+
+def test_few_rows_still_reject(spark):
+    """A language of few rows has a limit: foreign scripts are rejected, its own held-out texts are not."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    own = docs.where("lang = 'de'").orderBy("doc_id").limit(60)
+    foreign = ["Η γλώσσα είναι ένα σύστημα επικοινωνίας των ανθρώπων", "Язык является средством общения между людьми во всём мире", "언어는 사람들이 서로 생각을 나누는 수단이다"]
+    extra = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(foreign)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.identify(own.unionByName(extra)).collect()}
+    assert all(got[10**6 + i].rejected for i in range(len(foreign)))
+    assert sum(r.rejected for r in got.values()) <= len(foreign) + 3
+    models = L.fit(docs.where("lang <> 'de'").unionByName(own))
+    assert np.isfinite(models.limits).all()
+    one = L.fit(spark.createDataFrame([(1, "ein einziger kurzer satz", "de")], "doc_id long, text string, lang string"))
+    assert np.isfinite(one.limits).all()

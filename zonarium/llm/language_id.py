@@ -4,7 +4,9 @@ One model of order 4 for each language, over lower-cased text with white space f
 64-bit n-gram keys (16 bits a character) with a row of log-probabilities, one for each language, all interpolated when
 the model is built, so that scoring looks a position up once at the longest order any language has seen. A text's
 language is that of the lowest cross-entropy in bits per character. Texts whose cross-entropy exceeds what texts kept
-out of the counts needed, by more than `slack` bits, are rejected.
+out of the counts needed, by more than `slack` bits, are rejected. A tenth of a language's sampled rows is kept out;
+where these are under 20, all its sampled rows are, part after part, and scored by a model of the others. A language of
+one row takes the highest limit of the others, or else what a model that knows nothing needs.
 
 The models are fitted on a bounded sample of the labelled rows: of each language the `max_docs` rows of least hash, as
 far as their texts, taken whole, have `max_chars` characters together (and `total_chars` over all languages). These
@@ -13,7 +15,6 @@ bounds limit what the driver holds and what is broadcast; every row is scored.
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ ORDER = 4
 DISCOUNT = 0.75
 MAX_DOCS, MAX_CHARS, TOTAL_CHARS = 2000, 4_000_000, 40_000_000
 SLACK = 2.0
+CALIBRATION, PARTS = 20, 10
 PAD = " " * (ORDER - 1)
 
 
@@ -171,18 +173,30 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """n-grams of the rows for counting, by language; rows kept for calibration are passed on whole."""
+    """n-grams of the rows for counting, by language (kind 0). Rows kept for calibration are passed on whole (kind 1),
+    those of languages with few rows too (kind 2, or 1)."""
     counts: Counter = Counter()
     for batch in batches:
-        for lang, text, keep in zip(C.column(batch, "lang"), C.column(batch, "text"), C.column(batch, "calibrate"), strict=True):
+        for lang, text, keep, few in zip(*(C.column(batch, c) for c in ("lang", "text", "calibrate", "few")), strict=True):
             text = normalize(text)
-            if keep:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text]), pa.array([0])], names=["lang", "gram", "n"])
-                continue
-            text = PAD + text
-            counts.update((lang, text[i : i + ORDER]) for i in range(len(text) - ORDER + 1))
+            if keep or few:
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([text]), pa.array([0]), pa.array([1 if keep else 2])], names=["lang", "gram", "n", "kind"])
+            if not keep:
+                text = PAD + text
+                counts.update((lang, text[i : i + ORDER]) for i in range(len(text) - ORDER + 1))
     if counts:
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values()))], names=["lang", "gram", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts]), pa.array([k[1] for k in counts]), pa.array(list(counts.values())), pa.array([0] * len(counts))], names=["lang", "gram", "n", "kind"])
+
+
+def _crossed(alphabet: Alphabet, lang: str, texts: list[str]) -> list[float]:
+    """Bits per character of each text in a model of the texts of the other parts."""
+    parts, out = min(PARTS, len(texts)), []
+    keys = [alphabet.keys(PAD + t) for t in texts]
+    for k in range(parts):
+        rest = np.concatenate([x for i, x in enumerate(keys) if i % parts != k])
+        model = Models(alphabet, {lang: _sum_by(rest, np.ones(len(rest)))})
+        out += model.entropies(texts[k::parts])[:, 0].tolist()
+    return out
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, total_chars: int = TOTAL_CHARS, slack: float = SLACK) -> Models:
@@ -192,10 +206,12 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, t
     first = names.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "size"))).where(F.col("r") <= max_docs)
     share = max(1, min(max_chars, total_chars // max(1, first.select("lang").distinct().count())))
     running = F.sum("size").over(W.partitionBy("lang").orderBy("r"))
-    first = first.withColumn("until", running).where(F.col("until") <= share).select("doc_id", (F.col("r") % 10 == 0).alias("calibrate")).dropDuplicates(["doc_id"])
-    sample = labelled.join(F.broadcast(first), "doc_id").select("lang", "text", "calibrate")  # max_docs rows a language
-    rows = sample.mapInArrow(_count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.count("*").alias("times")).toArrow().to_pylist()
-    grams = [(r["lang"], r["gram"], r["n"]) for r in rows if r["n"]]
+    first = first.withColumn("until", running).where(F.col("until") <= share)
+    few = F.count("*").over(W.partitionBy("lang")) < 10 * CALIBRATION
+    first = first.select("doc_id", (F.col("r") % 10 == 0).alias("calibrate"), few.alias("few")).dropDuplicates(["doc_id"])
+    sample = labelled.join(F.broadcast(first), "doc_id").select("lang", "text", "calibrate", "few")  # max_docs rows a language
+    rows = sample.mapInArrow(_count, "lang string, gram string, n long, kind long").groupBy("lang", "gram", "kind").agg(F.sum("n").alias("n")).toArrow().to_pylist()
+    grams = [(r["lang"], r["gram"], r["n"]) for r in rows if not r["kind"]]
     characters: Counter = Counter()
     for _, g, n in grams:
         characters[ord(g[-1])] += n
@@ -207,12 +223,17 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, t
         keys = np.array([alphabet.keys(g)[0] for g, _ in own], C.U64)
         counts[lang] = _sum_by(keys, np.array([n for _, n in own], float)) if own else (np.zeros(0, C.U64), np.zeros(0))
     models = Models(alphabet, counts)
-    kept = [(r["lang"], r["gram"]) for r in rows if not r["n"]]
-    if kept:
-        h = models.entropies([t for _, t in kept])
-        for j, lang in enumerate(models.languages):
-            own = [h[i, j] for i, (one, _) in enumerate(kept) if one == lang]
-            models.limits[j] = max(own) + slack if len(own) >= 20 else math.inf
+    kept = [(r["lang"], r["gram"]) for r in rows if r["kind"] == 1]
+    h = models.entropies([t for _, t in kept]) if kept else np.zeros((0, len(models.languages)))
+    for j, lang in enumerate(models.languages):
+        own = [h[i, j] for i, (one, _) in enumerate(kept) if one == lang]
+        if len(own) < CALIBRATION:
+            texts = sorted({r["gram"] for r in rows if r["kind"] and r["lang"] == lang})
+            own = _crossed(alphabet, lang, texts) if len(texts) > 1 else []
+        if own:
+            models.limits[j] = max(own) + slack
+    known = models.limits[np.isfinite(models.limits)]
+    models.limits[~np.isfinite(models.limits)] = max(known) if len(known) else np.log2(len(alphabet.points) + 1)
     return models
 
 
