@@ -92,3 +92,12 @@ def test_few_rows_still_reject(spark):
     assert np.isfinite(models.limits).all()
     one = L.fit(spark.createDataFrame([(1, "ein einziger kurzer satz", "de")], "doc_id long, text string, lang string"))
     assert np.isfinite(one.limits).all()
+
+
+def test_long_texts_do_not_shut_out_others(spark):
+    rows = [(i, "guten morgen liebe welt " * (1 + 99 * (i % 2)), "de") for i in range(60)] + [(100 + i, "hello again my good friend " * 200, "en") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    models = L.fit(docs, max_chars=1000)
+    assert models.languages == ["de", "en"]
+    got = {r.doc_id: r for r in L.identify(docs, models).collect()}
+    assert all(got[i].lang_pred == ("de" if i < 100 else "en") for i in got)

@@ -9,7 +9,8 @@ where these are under 20, all its sampled rows are, part after part, and scored
 one row takes the highest limit of the others, or else what a model that knows nothing needs.
 
 The models are fitted on a bounded sample of the labelled rows: of each language the `max_docs` rows of least hash, as
-far as their texts, taken whole, have `max_chars` characters together (and `total_chars` over all languages). These
+far as their texts, taken whole, have `max_chars` characters together (and `total_chars` over all languages); a text
+that does not fit any more is left out, later ones that fit are taken. Where none fits, the first is taken in part. These
 bounds limit what the driver holds and what is broadcast; every row is scored.
 """
 
@@ -199,17 +200,40 @@ def _crossed(alphabet: Alphabet, lang: str, texts: list[str]) -> list[float]:
     return out
 
 
+def _fitting(share: int):
+    """Of rows that come by language and rank, those that fit into share characters, with the characters to take of each."""
+
+    def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, left, rank = None, None, share, 0
+
+        def row(doc_id: int, lang: str, size: int, rank: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([lang]), pa.array([size], pa.int64()), pa.array([rank % 10 == 0])], names=["doc_id", "lang", "take", "calibrate"])
+
+        for batch in batches:
+            for doc_id, lang, size in zip(*(C.column(batch, c) for c in ("doc_id", "lang", "size")), strict=True):
+                if lang != now:
+                    if head is not None and not rank:
+                        yield row(head, now, share, 1)
+                    now, head, left, rank = lang, doc_id, share, 0
+                if size <= left:
+                    left, rank = left - size, rank + 1
+                    yield row(doc_id, lang, size, rank)
+        if head is not None and not rank:
+            yield row(head, now, share, 1)
+
+    return fitting
+
+
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, total_chars: int = TOTAL_CHARS, slack: float = SLACK) -> Models:
     """Models of the languages that rows outside the held-out fold are labelled with."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\S"))
     names = labelled.select("doc_id", "lang", F.length("text").alias("size")).withColumn("h", F.xxhash64("doc_id"))
     first = names.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id", "size"))).where(F.col("r") <= max_docs)
     share = max(1, min(max_chars, total_chars // max(1, first.select("lang").distinct().count())))
-    running = F.sum("size").over(W.partitionBy("lang").orderBy("r"))
-    first = first.withColumn("until", running).where(F.col("until") <= share)
+    first = first.repartition("lang").sortWithinPartitions("lang", "r").mapInArrow(_fitting(share), "doc_id long, lang string, take long, calibrate boolean")
     few = F.count("*").over(W.partitionBy("lang")) < 10 * CALIBRATION
-    first = first.select("doc_id", (F.col("r") % 10 == 0).alias("calibrate"), few.alias("few")).dropDuplicates(["doc_id"])
-    sample = labelled.join(F.broadcast(first), "doc_id").select("lang", "text", "calibrate", "few")  # max_docs rows a language
+    first = first.select("doc_id", F.col("take").cast("int").alias("take"), "calibrate", few.alias("few")).dropDuplicates(["doc_id"])
+    sample = labelled.join(F.broadcast(first), "doc_id").select("lang", F.expr("substring(text, 1, take)").alias("text"), "calibrate", "few")  # max_docs rows a language
     rows = sample.mapInArrow(_count, "lang string, gram string, n long, kind long").groupBy("lang", "gram", "kind").agg(F.sum("n").alias("n")).toArrow().to_pylist()
     grams = [(r["lang"], r["gram"], r["n"]) for r in rows if not r["kind"]]
     characters: Counter = Counter()
