@@ -123,3 +123,69 @@ def test_tables(spark, tmp_path):
     assert tables.normalize_path("/vsis3/b/k.tif") == tables.normalize_path("s3://b/k.tif") == "s3a://b/k.tif"
     assert tables.is_s3("s3://x/y") and not tables.is_s3("/tmp/x")
     assert tables.s3_options("k", "s", requester_pays=True)["fs.s3a.requester.pays.enabled"] == "true"
+
+
+def test_edges_have_as_many_segments_as_points():
+    """With one point an edge a pixel is its four corners; each more adds a segment to every edge."""
+    t = Affine(1.0, 0.0, 10.0, 0.0, -1.0, 50.0)
+    for n in (1, 2, 3):
+        got = area.pixel_areas(t, 0, 0, 1, 1, n)[0, 0]
+        s = np.arange(n) / n
+        x = np.concatenate([10 + s, np.full(n, 11.0), 11 - s, np.full(n, 10.0)])
+        y = np.concatenate([np.full(n, 50.0), 50 - s, np.full(n, 49.0), 49 + s])
+        px, py = area.laea(x, y, 10.5, 49.5)
+        assert got == pytest.approx(ring_area(np.stack([px, py], 1)), rel=1e-12)
+    assert area.pixel_areas(t, 0, 0, 1, 1, 1)[0, 0] != area.pixel_areas(t, 0, 0, 1, 1, 2)[0, 0]
+    with pytest.raises(ValueError):
+        area.pixel_areas(t, 0, 0, 1, 1, 0)
+
+
+def test_one_call_extraction(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from zonarium.operators.extraction import extract_quantity
+
+    t = Affine(1.0, 0.0, 0.0, 0.0, -1.0, 40.0)
+    rng = np.random.default_rng(5)
+    a, b = rng.uniform(0, 9, (2, 30, 20)).astype(np.float32), rng.uniform(0, 9, (1, 30, 20)).astype(np.float32)
+    a[0, 3, 3] = np.nan
+    w = rng.uniform(1, 2, (1, 30, 20)).astype(np.float32)
+    for name, v, tile in (("a", a, 16), ("b", b, 32), ("w", w, 16)):
+        raster.write_geotiff(f"{tmp_path}/{name}.tif", v, t, tile=tile)
+    feature = lambda i, x0, y0, x1, y1: {"type": "Feature", "properties": {"code": f"z{i}", "kind": i}, "geometry": {"type": "Polygon", "coordinates": [[[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]]}}
+    boxes = [(2, 30, 6, 38), (0.5, 12.25, 4, 20), (100, 0, 110, 5)]
+    path = f"{tmp_path}/zones.geojson"
+    with open(path, "w") as f:
+        json.dump({"type": "FeatureCollection", "features": [feature(i, *x) for i, x in enumerate(boxes)]}, f)
+    rasters = [f"{tmp_path}/a.tif", f"file://{tmp_path}/b.tif"]
+
+    def covers(x0, y0, x1, y1):
+        c, r = np.arange(20), np.arange(30)
+        return np.outer(np.clip(np.minimum(40 - y0, r + 1) - np.maximum(40 - y1, r), 0, None), np.clip(np.minimum(x1, c + 1) - np.maximum(x0, c), 0, None))
+
+    for weights, weight in ((None, np.ones((30, 20))), (f"{tmp_path}/w.tif", w[0].astype(float)), ("trueAreaForFirst", None), ("trueAreaForEach", None)):
+        got = {r["code"]: r for r in extract_quantity(spark, rasters, path, weights, ["mean", "weight"], ["centroidBasedWeight"], keep_columns=["kind"], id_column="code", keep_non_intersecting=True).collect()}
+        assert set(got) == {"z0", "z1", "z2"} and got["z2"]["a_band_1_mean"] is None and got["z1"]["kind"] == "1"
+        for i, box in enumerate(boxes[:2]):
+            cover = covers(*box)
+            for band, v, block in (("a_band_1", a[0], (16, 16)), ("a_band_2", a[1], (16, 16)), ("b_band_1", b[0], (32, 32))):
+                u = weight
+                if u is None:
+                    bh, bw = (16, 16) if weights == "trueAreaForFirst" else block
+                    u = np.block([[area.pixel_areas(t, r, c, min(bh, 30 - r), min(bw, 20 - c)).astype(np.float32) for c in range(0, 20, bw)] for r in range(0, 30, bh)]).astype(float)
+                ok = ~np.isnan(v)
+                total = (cover * u)[ok].sum()
+                assert got[f"z{i}"][f"{band}_weight"] == pytest.approx(total, rel=1e-9)
+                assert got[f"z{i}"][f"{band}_mean"] == pytest.approx((cover * u * v)[ok].sum() / total, rel=1e-9)
+    with pytest.raises(ValueError):
+        extract_quantity(spark, [rasters[0], rasters[0]], path)
+    # The raw pixels as a GeoPackage, and zones from one.
+    extract_quantity(spark, rasters, path, None, ["mean"], id_column="code", save_raw=f"{tmp_path}/raw.gpkg")
+    zones, crs = tables.read_vector(spark, f"{tmp_path}/raw.gpkg", None, "code")
+    assert crs == "EPSG:4326" and zones.count() == 3
+    again = {r["code"]: r for r in extract_quantity(spark, rasters, f"{tmp_path}/raw.gpkg", None, ["mean"], id_column="code").collect()}
+    plain = {r["code"]: r for r in extract_quantity(spark, rasters, path, None, ["mean"], id_column="code").collect()}
+    assert {k: r["a_band_1_mean"] for k, r in again.items()} == {k: r["a_band_1_mean"] for k, r in plain.items()}
+    numbered = extract_quantity(spark, rasters[0], f"{tmp_path}/raw.gpkg", None, ["weight"]).orderBy("id").collect()
+    assert len(numbered) == 2 and "id" in numbered[0].asDict()
+    assert zones.select(F.get_json_object("a_band_1_pixels", "$[0].coverage")).where("zone_id = 'z0'").first()[0] is not None

@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,15 +55,25 @@ def laea(lon, lat, lon0: float, lat0: float):
 
 
 def pixel_areas(transform: Affine, row_off: int, col_off: int, nrows: int, ncols: int, points_per_edge: int = 1, to_lonlat: Callable | None = None) -> np.ndarray:
-    """Areas of a block's pixels; to_lonlat takes the grid's coordinates to degrees (none: they are degrees)."""
-    n = points_per_edge + 1  # segments of an edge
+    """Areas of a block's pixels; to_lonlat takes the grid's coordinates to degrees (none: they are degrees).
+
+    An edge has points_per_edge segments: with 1, a pixel is its four corners.
+    """
+    if points_per_edge < 1:
+        raise ValueError("an edge has at least one segment")
+    rows, cols = np.meshgrid(np.arange(row_off, row_off + nrows, dtype=float), np.arange(col_off, col_off + ncols, dtype=float), indexing="ij")
+    return areas_at(transform, rows, cols, (col_off + ncols / 2, row_off + nrows / 2), points_per_edge, to_lonlat)
+
+
+def areas_at(transform: Affine, rows: np.ndarray, cols: np.ndarray, centre: tuple[float, float], points_per_edge: int = 1, to_lonlat: Callable | None = None) -> np.ndarray:
+    """Areas of the pixels at rows and cols, in the projection centred at a column and row of the grid."""
+    n = points_per_edge
     step = np.linspace(0, 1, n + 1)[:-1]
     zero, one = np.zeros(n), np.ones(n)
     # Around the pixel: along the top, down the right side, back along the bottom, up the left side.
     dc, dr = np.concatenate([step, one, 1 - step, zero]), np.concatenate([zero, step, one, 1 - step])
-    rows, cols = np.meshgrid(np.arange(row_off, row_off + nrows, dtype=float), np.arange(col_off, col_off + ncols, dtype=float), indexing="ij")
     x, y = transform.point(cols[..., None] + dc, rows[..., None] + dr)
-    cx, cy = transform.point(col_off + ncols / 2, row_off + nrows / 2)
+    cx, cy = transform.point(*centre)
     if to_lonlat:
         x, y = to_lonlat(x, y)
         cx, cy = (float(v) for v in to_lonlat(np.float64(cx), np.float64(cy)))
@@ -92,3 +103,26 @@ def area_table(spark: SparkSession, width: int, height: int, transform: Affine,
 
     n = max(1, (-(-height // bh)) * (-(-width // bw)))
     return blocks.repartition(min(n, 2000)).mapInPandas(run, "row long, col long, weight double")
+
+
+def with_true_area(pixels: DataFrame, width: int, height: int, transform: Affine, crs: str = "EPSG:4326", block: tuple[int, int] = (512, 512), points_per_edge: int = 1) -> DataFrame:
+    """pixels (row, col, ...) with weight, the area that area_table has for each; only these pixels are computed."""
+    from zonarium.operators.projections import projection
+
+    if points_per_edge < 1:
+        raise ValueError("an edge has at least one segment")
+    bh, bw = block
+    to_lonlat = projection(crs)[1]
+    names = pixels.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, cols = (batch.column(c).to_numpy().astype(float) for c in ("row", "col"))
+            area, down, across = np.zeros(len(rows)), rows // bh, cols // bw
+            for r, c in set(zip(down.tolist(), across.tolist(), strict=True)):
+                own = (down == r) & (across == c)
+                centre = (c * bw + min(bw, width - c * bw) / 2, r * bh + min(bh, height - r * bh) / 2)
+                area[own] = areas_at(transform, rows[own], cols[own], centre, points_per_edge, to_lonlat)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(area.astype(np.float32).astype(float))], names=[*names, "weight"])
+
+    return pixels.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in pixels.dtypes) + ", weight double")

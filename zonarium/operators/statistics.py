@@ -106,24 +106,27 @@ def one_pass(pixels: DataFrame, asked: list[Quantity], units: Units, ignore: tup
     if not exact and second:
         sums.append(F.first("_centre", ignorenulls=True).alias("_centre"))
     table = pixels.groupBy(*KEYS).agg(*sums)
+    # One lambda turns the sums of a kind into its statistics, for all kinds: written out for each, the code of many
+    # quantities outgrows what the JVM takes in one method.
     d = lambda x: x.cast("double")
-    out = []
-    for q in asked:
-        g = lambda part, q=q: F.col(_tag(q.kind, part))
-        unit_u = units.coverage * (units.weight if q.weighted else 1.0)
-        if q.family == "Weight":
-            x = d(g("w")) * unit_u
-        elif q.family == "Mean":
-            x = F.when(g("w") != 0, d(g("s1")) / F.when(g("w") != 0, d(g("w"))))
-            x = x * units.value if exact or not second else (x + F.coalesce(F.col("_centre"), F.lit(0.0))) * units.value
-        else:
-            top = wide(g("w")) * g("s2") - wide(g("s1")) * wide(g("s1"))
-            bottom = wide(g("w")) * wide(g("w")) - wide(g("q"))
-            low = d(bottom)
-            x = F.when(low > 0, F.greatest(d(top), F.lit(0.0)) / F.when(low > 0, low)).otherwise(F.lit(float("nan"))) * (units.value * units.value)
-            x = F.sqrt(x) if q.family == "Std" else x
-        out.append(F.when(g("support") > 0, x).alias(q.suffix))
-    return table.select(*KEYS, *out)
+    have = set(table.columns)
+    types = {"support": "double", "w": "long" if exact else "double", "s1": "long" if exact else "double", "s2": "decimal(38,0)" if exact else "double", "q": "long" if exact else "double"}
+    part = lambda kind, name: (F.col(_tag(kind, name)) if _tag(kind, name) in have else F.lit(None)).cast(types[name]).alias(name)
+    rows = F.array(*(F.struct(*(part(kind, name) for name in types), F.lit(units.coverage * (units.weight if kind[1] else 1.0)).alias("unit")) for kind in kinds))
+    centre = F.coalesce(F.col("_centre"), F.lit(0.0)) if not exact and second else None
+
+    def moments(m: Column) -> Column:
+        w, s1, s2, q = (m[x] for x in ("w", "s1", "s2", "q"))
+        mean = F.when(w != 0, d(s1) / F.when(w != 0, d(w)))
+        mean = mean * units.value if centre is None else (mean + centre) * units.value
+        low = d(wide(w) * wide(w) - wide(q))
+        top = d(wide(w) * s2 - wide(s1) * wide(s1))
+        var = F.when(low > 0, F.greatest(top, F.lit(0.0)) / F.when(low > 0, low)).otherwise(F.lit(float("nan"))) * (units.value * units.value)
+        there = lambda x: F.when(m["support"] > 0, x)
+        return F.struct(there(d(w) * m["unit"]).alias("Weight"), there(mean).alias("Mean"), there(var).alias("Var"), there(F.sqrt(var)).alias("Std"))
+
+    done = table.select(*KEYS, F.transform(rows, moments).alias("_moments"))
+    return done.select(*KEYS, *(F.col("_moments")[kinds.index(q.kind)][q.family].alias(q.suffix) for q in asked))
 
 
 def quantiles(pixels: DataFrame, asked: list[Quantity], units: Units, ignore: tuple) -> DataFrame:
@@ -157,14 +160,13 @@ def evaluate(pixels: DataFrame, asked: list[Quantity], units: Units = Units(), i
     """One row for each zone and band that any pixel touches, with a column for each quantity in order."""
     from zonarium.functions.empirical import aggregate_objects
 
-    out = pixels.select(*KEYS).distinct()
     groups: dict[tuple, list[Quantity]] = {}
     for q in asked:
         group = "objects" if q.family in OBJECTS else "sorted" if q.family in ("Quantile", "Median") else "sums"
         groups.setdefault((group, q.ignored if q.ignored is not None else tuple(ignore)), []).append(q)
-    if list(groups) and all(g == "sums" for g, _ in groups) and len(groups) == 1:
-        (_, skip), own = next(iter(groups.items()))
-        return one_pass(pixels, own, units, skip)
+    # Sums have a row for each zone and band that any pixel touches; only where none are asked for, a distinct finds them.
+    first = next((g for g in groups if g[0] == "sums"), None)
+    out = one_pass(pixels, groups.pop(first), units, first[1]) if first else pixels.select(*KEYS).distinct()
     for (group, skip), own in groups.items():
         part = {"sums": one_pass, "sorted": quantiles, "objects": aggregate_objects}[group](pixels, own, units, skip)
         renamed = part.select(*(F.col(k).alias(f"_{k}") for k in KEYS), *(q.suffix and F.col(f"`{q.suffix}`") for q in own))

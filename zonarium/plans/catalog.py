@@ -376,6 +376,60 @@ def q_stringify(spark, sf_dir):
     return back.select("zone_id", F.size("values").cast("long").alias("n"), F.aggregate("values", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
+_E = "0.0818191908426214957::DOUBLE"
+
+
+def _authalic(sin: str) -> str:
+    return f"((1 - {_E} * {_E}) * (({sin}) / (1 - {_E} * {_E} * ({sin}) * ({sin})) + atanh({_E} * ({sin})) / {_E}))"
+
+
+def _true_area_sql() -> str:
+    """Equal-area coordinates of the corners of a half-degree grid around 35 degrees north, shoelace areas, overlaps with rectangles."""
+    sin0 = "sin(radians(35::DOUBLE))"
+    return f"""WITH u AS (SELECT {_authalic('1::DOUBLE')} AS qp, {_authalic(sin0)} AS q0),
+o AS (SELECT qp, asin(q0 / qp) AS b0, 6378137.0::DOUBLE * sqrt(qp / 2) AS rq FROM u),
+v AS (SELECT *, 6378137.0::DOUBLE * cos(radians(35::DOUBLE)) / sqrt(1 - {_E} * {_E} * {sin0} * {sin0}) / (rq * cos(b0)) AS d FROM o),
+c AS (SELECT i, j, radians(-25 + 0.5::DOUBLE * i) AS lam, asin({_authalic('sin(radians(60 - 0.5::DOUBLE * j))')} / qp) AS beta, v.* FROM generate_series(0, 100) AS a(i), generate_series(0, 100) AS b(j), v),
+e AS (SELECT *, rq * sqrt(2 / (1 + sin(b0) * sin(beta) + cos(b0) * cos(beta) * cos(lam))) AS m FROM c),
+w AS (SELECT i, j, m * d * cos(beta) * sin(lam) AS x, m / d * (cos(b0) * sin(beta) - sin(b0) * cos(beta) * cos(lam)) AS y FROM e),
+g AS (SELECT p.i AS col, p.j AS row, (0.5::DOUBLE * abs(p.x * q.y - q.x * p.y + q.x * r.y - r.x * q.y + r.x * s.y - s.x * r.y + s.x * p.y - p.x * s.y))::FLOAT::DOUBLE AS area
+  FROM w p JOIN w q ON q.i = p.i + 1 AND q.j = p.j JOIN w r ON r.i = p.i + 1 AND r.j = p.j + 1 JOIN w s ON s.i = p.i AND s.j = p.j + 1),
+h AS (SELECT l_orderkey % 100 AS col, l_partkey % 100 AS row, max(l_extendedprice)::FLOAT::DOUBLE AS value FROM lineitem GROUP BY 1, 2),
+z AS (SELECT c_custkey AS id, (c_custkey * 37 % 900) / 10.0::DOUBLE AS x0, (c_custkey * 91 % 900) / 10.0::DOUBLE AS y0, (c_custkey * 37 % 900 + 5 + c_custkey % 7 * 7) / 10.0::DOUBLE AS x1, (c_custkey * 91 % 900 + 5 + c_custkey % 5 * 9) / 10.0::DOUBLE AS y1 FROM customer),
+t AS (SELECT id, value, area * (least(x1, col + 1) - greatest(x0, col)) * (least(y1, row + 1) - greatest(y0, row)) AS u FROM z JOIN g ON col < x1 AND col + 1 > x0 AND row < y1 AND row + 1 > y0 JOIN h USING (row, col))
+SELECT id, round(sum(u) / 1e6::DOUBLE, 0) AS area_km2, round(sum(u * value) / sum(u), 1) AS mean_price FROM t GROUP BY id"""
+
+
+def _grid_raster(spark: SparkSession, sf_dir: str) -> str:
+    """A GeoTIFF of the 100 x 100 cells of line items, each its highest price, over 50 degrees from 25 W and 60 N."""
+    import numpy as np
+
+    from zonarium.sources.raster import write_geotiff
+    from zonarium.sources.tables import shared_folder
+
+    cells = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("col"), (F.col("l_partkey") % 100).alias("row")).agg(F.max("l_extendedprice").alias("value")).collect()
+    values = np.full((1, 100, 100), np.nan)
+    for c in cells:
+        values[0, c.row, c.col] = c.value
+    path = f"{shared_folder(spark)}/price.tif"
+    write_geotiff(path, values, grid.Affine(0.5, 0.0, -25.0, 0.0, -0.5, 60.0))
+    return path
+
+
+@_query(_true_area_sql())
+def q_extract_true_area(spark, sf_dir):
+    """Customers' rectangles over a GeoTIFF in one call, weighted by true pixel areas."""
+    from zonarium.operators.extraction import extract_quantity
+
+    k = F.col("c_custkey")
+    lon, lat = (lambda x: x / 20 - 25), (lambda y: 60 - y / 20)
+    x0, y0 = k * 37 % 900, k * 91 % 900
+    w, e, n, s = lon(x0), lon(x0 + 5 + k % 7 * 7), lat(y0), lat(y0 + 5 + k % 5 * 9)
+    zones = table(spark, sf_dir, "customer").select(k.alias("id"), F.format_string("POLYGON((%s %s, %s %s, %s %s, %s %s, %s %s))", w, n, e, n, e, s, w, s, w, n).alias("geometry"))
+    out = extract_quantity(spark, _grid_raster(spark, sf_dir), zones, "trueAreaForFirst", ["weight", "mean"], id_column="id")
+    return out.select("id", F.round(F.col("price_band_1_weight") / 1e6, 0).alias("area_km2"), F.round("price_band_1_mean", 1).alias("mean_price"))
+
+
 @_query()
 def q_polygon_clip(spark, sf_dir):
     """Triangles from customers over the grid: coverage by exact clipping, then statistics."""

@@ -14,7 +14,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -69,8 +69,29 @@ def _lzw(data: bytes) -> bytes:
     return b"".join(out)
 
 
-def read_meta(path: str) -> RasterMeta:
-    with open(path, "rb") as f:
+def stem_of(path: str) -> str:
+    return os.path.splitext(os.path.basename(path))[0]
+
+
+def open_file(path: str, options: dict | None = None):
+    """A file to seek and read in: of the mounted file system, or of an object store by range requests."""
+    from zonarium.sources.tables import is_s3, normalize_path
+
+    if not is_s3(path) and "://" not in path:
+        return open(path, "rb")
+    from pyarrow import fs
+
+    if not is_s3(path):
+        store, inner = fs.FileSystem.from_uri(path)
+    else:
+        o = options or {}
+        given = {"access_key": o.get("fs.s3a.access.key"), "secret_key": o.get("fs.s3a.secret.key"), "endpoint_override": o.get("fs.s3a.endpoint"), "region": o.get("fs.s3a.endpoint.region")}
+        store, inner = fs.S3FileSystem(**{k: v for k, v in given.items() if v}), normalize_path(path)[6:]
+    return store.open_input_file(inner)
+
+
+def read_meta(path: str, options: dict | None = None) -> RasterMeta:
+    with open_file(path, options) as f:
         head = f.read(16)
         order = {b"II": "<", b"MM": ">"}.get(head[:2])
         if order is None:
@@ -124,15 +145,18 @@ def read_meta(path: str) -> RasterMeta:
 
 def read_block(meta: RasterMeta, index: int, file) -> tuple[int, int, list[int], np.ndarray]:
     """First row and column, bands, and values (rows x columns x bands) of one tile or strip."""
+    file.seek(meta.offsets[index])
+    return decode_block(meta, index, file.read(meta.counts[index]), len(meta.offsets))
+
+
+def decode_block(meta: RasterMeta, index: int, data: bytes, n_blocks: int) -> tuple[int, int, list[int], np.ndarray]:
     across, down = -(-meta.width // meta.block_w), -(-meta.height // meta.block_h)
     plane, place = divmod(index, across * down) if meta.planar else (0, index)
     row, col = place // across * meta.block_h, place % across * meta.block_w
     bands = [plane + 1] if meta.planar else list(range(1, meta.n_bands + 1))
-    file.seek(meta.offsets[index])
-    data = file.read(meta.counts[index])
     data = data if meta.compression == 1 else _lzw(data) if meta.compression == 5 else zlib.decompress(data)
     size, k = int(meta.dtype[1:]), len(bands)
-    tiled = meta.block_w != meta.width or len(meta.offsets) != down * (meta.n_bands if meta.planar else 1)
+    tiled = meta.block_w != meta.width or n_blocks != down * (meta.n_bands if meta.planar else 1)
     rows = meta.block_h if tiled or len(data) >= meta.block_h * meta.block_w * k * size else min(meta.block_h, meta.height - row)
     if meta.predictor == 3:
         b = np.frombuffer(data, np.uint8).reshape(rows, size, meta.block_w * k)
@@ -146,32 +170,37 @@ def read_block(meta: RasterMeta, index: int, file) -> tuple[int, int, list[int],
 
 
 class _Block(InputPartition):
-    def __init__(self, meta: RasterMeta, index: int, stem: str) -> None:
-        self.meta, self.index, self.stem = meta, index, stem
+    """One tile or strip, with its own place in the file and not the others'."""
+
+    def __init__(self, meta: RasterMeta, index: int, offset: int, count: int, n_blocks: int, stem: str) -> None:
+        self.meta, self.index, self.offset, self.count, self.n_blocks, self.stem = meta, index, offset, count, n_blocks, stem
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for part in options["path"].split(",") for p in (sorted(glob.glob(part)) or [part])]
+        self.options = {k: v for k, v in options.items() if k.startswith("fs.s3a.")}
         self.lenient = str(options.get("failOnError", "true")).lower() == "false"
 
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in self.paths:
             try:
-                meta = read_meta(path)
+                meta = read_meta(path, self.options)
             except (OSError, ValueError):
                 if self.lenient:
                     continue
                 raise
-            stem = os.path.splitext(os.path.basename(path))[0]
-            out += [_Block(meta, i, stem) for i in range(len(meta.offsets))]
+            stem = stem_of(path)
+            bare = replace(meta, offsets=[], counts=[])
+            out += [_Block(bare, i, at, n, len(meta.offsets), stem) for i, (at, n) in enumerate(zip(meta.offsets, meta.counts, strict=True))]
         return out
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
         meta = partition.meta
-        with open(meta.path, "rb") as f:
-            row, col, bands, values = read_block(meta, partition.index, f)
+        with open_file(meta.path, self.options) as f:
+            f.seek(partition.offset)
+            row, col, bands, values = decode_block(meta, partition.index, f.read(partition.count), partition.n_blocks)
         h, w, _ = values.shape
         for k, b in enumerate(bands):
             v = values[:, :, k].ravel()
@@ -192,11 +221,14 @@ class RasterDataSource(DataSource):
         return _Reader(self.options)
 
 
-def read_raster(spark: SparkSession, paths: str | list[str], fail_on_error: bool = True) -> DataFrame:
-    """band_name ({stem}_band_{b}), band, row, col, value of GeoTIFF files of one grid; nodata is NaN."""
+def read_raster(spark: SparkSession, paths: str | list[str], fail_on_error: bool = True, options: dict[str, str] | None = None) -> DataFrame:
+    """band_name ({stem}_band_{b}), band, row, col, value of GeoTIFF files of one grid; nodata is NaN.
+
+    options: those of s3_options for paths in object stores; they hold for this read alone.
+    """
     spark.dataSource.register(RasterDataSource)
     paths = [paths] if isinstance(paths, str) else paths
-    return spark.read.format("raster").option("path", ",".join(paths)).option("failOnError", str(fail_on_error).lower()).load()
+    return spark.read.format("raster").option("path", ",".join(paths)).option("failOnError", str(fail_on_error).lower()).options(**(options or {})).load()
 
 
 def write_geotiff(path: str, values: np.ndarray, transform: Affine, epsg: int = 4326, tile: int = 256, nodata: float | None = None) -> None:
