@@ -46,3 +46,47 @@ def test_empty_and_repeated(spark):
     assert extract_pages(spark.createDataFrame([], schema)).count() == 0
     df = spark.createDataFrame([(None, None, None, "a"), (1, "u", "<article>x", "b"), (1, "u", "<article>x", "b")], schema)
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in extract_pages(df).collect()) == [(0, "", 0), (1, "x", 1), (1, "x", 1)]
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><h1 class="page-header">Title here</h1><p>Body text.</p></article>', "Title here\nBody text."),
+        ('<article><header class="entry-header"><h1>Title</h1></header><p>Body.</p></article>', "Title\nBody."),
+        ('<article><p>Body.</p><section id="related-work"><h2>Related</h2><p>Older.</p></section></article>', "Body.\nRelated\nOlder."),
+        ('<article><p>Body.</p><div class="related">Teaser</div><div class="ad-slot">Buy</div><div class="share-buttons">Share</div></article>', "Body."),
+        ("<h1>Head</h1><p>One short line.</p>", "Head\nOne short line."),
+        ("<nav>Menu</nav><p>Short.</p><footer>Foot</footer>", "Short."),
+        ('<article><p>Body.</p></article><div class="comments"><article class="comment"><p>First!</p></article></div>', "Body."),
+        ('<article><p>Body.</p><article class="comment"><p>First!</p></article></article>', "Body."),
+        ('<p title="a > b">x</p>', "x"),
+        ('<article><p>One.</p><a href="x>Two</article>', "One.\nTwo"),
+        ("<article><p>a < b and <3</p></article>", "a < b and <3"),
+    ],
+)
+def test_kept_and_dropped(page, want):
+    assert main_text(page) == want
+
+
+def test_unmarked_pages():
+    """Pages without an article: the list and the short lines between two paragraphs stay, what is around them goes."""
+    import random
+
+    rng = random.Random(3)
+    words = lambda n: " ".join("word%d" % rng.randrange(1000) for _ in range(n))
+    for _ in range(50):
+        body = [words(20)] + [words(rng.choice((1, 2, 30))) for _ in range(rng.randrange(12))] + [words(20)]
+        blocks = "".join(f"<li>{b}</li>" if len(b) < 20 else f"<p>{b}</p>" for b in body)
+        page = f"<html><body><div><a href=/>Home</a></div><div><a href=/x>News</a></div><div><a href=/y>More</a></div><div>{blocks}</div><div id=footer>Imprint {words(40)}</div></body></html>"
+        assert main_text(page) == "\n".join(body)
+
+
+@pytest.mark.parametrize("piece", ['<a "', "<a '", "<a ", "<!--", "<!", "<", "</script ", "<script>", '<a x="1" ', "<p>", "<div>", "<b>", "</b>", "<p></div>", "&", "&#", '"><p '])
+def test_linear_time(piece):
+    import time
+
+    began = time.process_time()
+    main_text(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - began < 20
+    if piece == '<a "':
+        assert time.process_time() - began < 3
