@@ -81,3 +81,33 @@ def test_long_texts_are_cut_into_pieces(monkeypatch):
     for i, k in whole.items():
         by.setdefault(data[i : i + 40].tobytes(), set()).add(k)
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_multikey_sort_equals_sets():
+    """Strings of runs around one chosen position, by sorting and by a dictionary of their bytes."""
+    import numpy as np
+
+    from zonarium.llm import suffix_dedup as S
+
+    rng = np.random.default_rng(8)
+    for length, seed in ((40, 20), (37, 9), (12, 5), (5, 2)):
+        core = bytes(rng.integers(97, 100, seed).astype(np.uint8))
+        lefts = [bytes(rng.integers(97, 99, length).astype(np.uint8)) for _ in range(3)]
+        rights = [bytes(rng.integers(97, 99, length).astype(np.uint8)) for _ in range(3)]
+        pieces, leads = [], []
+        for _ in range(30):
+            # Strings begin at most at the chosen position and hold the whole of its seed.
+            before, after = int(rng.integers(1, length - seed + 1)), int(rng.integers(1, length - seed + 1))
+            left, right = bytearray(lefts[rng.integers(3)]), bytearray(rights[rng.integers(3)])
+            if rng.random() < 0.5:
+                left[rng.integers(length)] ^= 1
+                right[rng.integers(length)] ^= 1
+            piece = bytes(left)[len(left) - before :] + core + bytes(right)[:after]
+            if len(piece) >= length:
+                pieces.append(piece)
+                leads.append(before)
+        got = S.repeated_strings(pieces, leads, length, seed)
+        seen = Counter((lead - i, p[i : i + length]) for p, lead in zip(pieces, leads) for i in range(len(p) - length + 1))
+        for p, lead, flags in zip(pieces, leads, got, strict=True):
+            assert flags.tolist() == [seen[(lead - i, p[i : i + length])] > 1 for i in range(len(p) - length + 1)]
+        assert any(f.any() for f in got)

@@ -3,13 +3,16 @@
 Every suffix of the corpus with 400 bytes of context would be 400 times the input, so suffixes are sampled by
 content: of each 400-byte string, the position of its least 200-byte hash (leftmost on ties) is the one whose suffix
 is sorted. Equal strings choose equal positions, so they meet under the same key. The consecutive strings of a
-document that choose one position form a run. Runs are range-partitioned by key (Spark samples the splitters), and
-
-1. keys that occur once in the corpus are dropped: no string under them repeats;
-2. equal runs repeat as a whole, known by hash alone;
-3. the other runs under a shared key, one of each text, are fetched and their strings sorted and compared within the
-   key's bucket. Keys with more than hot_runs different runs are split into single strings and counted with partial
-   aggregation instead, so that no group is gathered in a task.
+document that choose one position form a run.
+
+1. Keys that occur once in the corpus are dropped: no string under them repeats.
+2. Equal runs repeat as a whole, known by two independent hashes of 64 bits.
+3. The other runs under a shared key, one of each text, are fetched and range-partitioned by the leading 16 bytes of
+   their suffixes, and by key; Spark samples the splitters. Each bucket is sorted by them, and the strings of each key
+   by multikey quicksort with eight bytes as a character, until they differ from all others or are equal to the last
+   byte. Splitters fall between keys, so no two equal strings stand on different sides of a boundary. Keys with more
+   than hot_runs different runs are split into single strings and counted with partial aggregation instead, so that no
+   group is gathered in a task.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +51,8 @@ def runs_of(data: np.ndarray, length: int, seed: int) -> tuple[np.ndarray, ...]:
         first = np.flatnonzero(np.concatenate(([True], chosen[1:] != chosen[:-1])))
         end = np.append(first[1:], len(chosen))
         lead = chosen[first] - first
-        run = C.pieces_hash(h, first, end - 1 + length) + lead.astype(C.U64) * C.U64(0x9FB21C651E98DF25)
+        raw = d.tobytes()
+        run = np.array([xxhash.xxh64_intdigest(raw[s:e], k) for s, e, k in zip(first.tolist(), (end - 1 + length).tolist(), lead.tolist(), strict=True)], C.U64)
         out.append((x[chosen[first]].view(np.int64), run.view(np.int64), first + at, (end - first).astype(np.int32), lead.astype(np.int32)))
     if not out:
         z = np.zeros(0, np.int64)
@@ -84,20 +89,23 @@ def _index(length: int, seed: int, folder: str):
     return build
 
 
-_PIECES = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("alone", pa.bool_()), ("hot", pa.bool_()), ("piece", pa.binary())])
-_PIECES_SQL = "key long, run long, rid long, start long, lead int, alone boolean, hot boolean, piece binary"
+_PIECES = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("lead", pa.int32()), ("alone", pa.bool_()), ("hot", pa.bool_()), ("piece", pa.binary()), ("lead1", pa.int64()), ("lead2", pa.int64())])
+_PIECES_SQL = "key long, run long, rid long, start long, lead int, alone boolean, hot boolean, piece binary, lead1 long, lead2 long"
 
 
 def _fetch(length: int):
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, last, text = C.BlobReader(), None, b""
         for batch in batches:
-            pieces = []
-            for rid, file, offset, size, start, n in zip(*(C.column(batch, c) for c in ("rid", "file", "offset", "length", "start", "n")), strict=True):
+            pieces, heads = [], []
+            for rid, file, offset, size, start, n, lead in zip(*(C.column(batch, c) for c in ("rid", "file", "offset", "length", "start", "n", "lead")), strict=True):
                 if rid != last:
                     last, text = rid, reader.get(file, offset, size)
                 pieces.append(text[start : start + n - 1 + length])
-            yield pa.RecordBatch.from_arrays([batch.column(c).cast(_PIECES.field(c).type) for c in _PIECES.names[:-1]] + [pa.array(pieces, pa.binary())], schema=_PIECES)
+                heads.append(text[start + lead : start + lead + 16].ljust(16, b"\0"))
+            # As signed numbers that stand in the order of the bytes.
+            words = (np.frombuffer(b"".join(heads), ">u8").astype(C.U64) ^ C.U64(1 << 63)).view(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(c).cast(_PIECES.field(c).type) for c in _PIECES.names[:-3]] + [pa.array(pieces, pa.binary()), pa.array(words[:, 0]), pa.array(words[:, 1])], schema=_PIECES)
         reader.close()
 
     return fetch
@@ -120,7 +128,44 @@ def _spans(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _compare(length: int):
+def repeated_strings(pieces: list[bytes], leads: list[int], length: int, seed: int) -> list[np.ndarray]:
+    """Which strings of each run are in another one too, by multikey quicksort over characters of eight bytes.
+
+    All parts of one depth are split at once, and parts of one string are done. Strings can be equal only where the
+    chosen position stands at the same distance, and there its seed bytes are equal, so that these are not compared.
+    """
+    counts = [len(p) - length + 1 for p in pieces]
+    begins = np.cumsum([0, *(len(p) for p in pieces[:-1])])
+    data = np.frombuffer(b"".join(pieces) + bytes(8), np.uint8)
+    word = np.zeros(len(data) - 7, C.U64)
+    for k in range(8):
+        word |= data[k : len(data) - 7 + k].astype(C.U64) << C.U64(56 - 8 * k)
+    start = np.concatenate([b + np.arange(n) for b, n in zip(begins.tolist(), counts, strict=True)])
+    ahead = np.concatenate([lead - np.arange(n) for lead, n in zip(leads, counts, strict=True)])
+    open_, part = np.arange(len(start)), ahead - ahead.min()
+    size = np.bincount(part)
+    open_, part = open_[size[part] > 1], part[size[part] > 1]
+    word >>= C.U64(64 - 8 * min(8, length))
+    for at in [*range(0, length - 8, 8), max(0, length - 8)]:
+        if not len(open_):
+            break
+        behind = ahead[open_]
+        needed = (at < behind) | (at + 8 > behind + seed)
+        if not needed.any():
+            continue
+        w = np.where(needed, word[start[open_] + at], C.U64(0))
+        order = np.lexsort((w, part))
+        w, sorted_part = w[order], part[order]
+        new = np.concatenate(([True], (w[1:] != w[:-1]) | (sorted_part[1:] != sorted_part[:-1])))
+        number = np.cumsum(new) - 1
+        several = np.bincount(number)[number] > 1
+        open_, part = open_[order][several], number[several]
+    twice = np.zeros(len(start), bool)
+    twice[open_] = True
+    return np.split(twice, np.cumsum(counts)[:-1])
+
+
+def _compare(length: int, seed: int):
     """Sorts the strings of each key's runs and marks those that have an equal neighbour in another run."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,19 +174,10 @@ def _compare(length: int):
             keep = list({r: i for i, r in reversed(list(enumerate(g["run"])))}.values())
             if len(keep) < 2:
                 continue
-            hashes = [_strings(g["piece"][i], length, g["lead"][i])[1] for i in keep]
-            h = np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            twice = np.zeros(len(h), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
-            at = 0
-            for i, x in zip(keep, hashes, strict=True):
+            for i, twice in zip(keep, repeated_strings([g["piece"][i] for i in keep], [g["lead"][i] for i in keep], length, seed), strict=True):
                 if g["alone"][i]:
-                    for s, e in zip(*_spans(twice[at : at + len(x)]), strict=True):
+                    for s, e in zip(*_spans(twice), strict=True):
                         out.append((g["rid"][i], g["start"][i] + int(s), g["start"][i] + int(e) - 1 + length))
-                at += len(x)
             if len(out) > 5000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=_SPANS)
                 out = []
@@ -204,8 +240,8 @@ def repeated_bytes(docs: DataFrame, length: int = 400, seed: int = 200, hot_runs
 
     Removes each byte covered by a length-byte string that also starts elsewhere in docs. A null text counts as
     empty; a null or repeated doc_id is kept as it is, rows of equal doc_id being different documents; other columns
-    are not read. Removed bytes may cut a character in two, so `kept` (filled if with_text) is binary. Equality is by
-    128 bits of hash.
+    are not read. Removed bytes may cut a character in two, so `kept` (filled if with_text) is binary. Equality of
+    whole runs, and of strings under hot keys, is by 128 bits of hash, of others by their bytes.
     """
     spark = docs.sparkSession
     folder = C.local_path(C.fresh_path(spark, "texts"))
@@ -221,7 +257,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400, seed: int = 200, hot_runs
     one = kinds.join(mixed, "key").select("key", "run", F.col("first").alias("rid"), (F.col("copies") == 1).alias("alone"), (F.col("d") > hot_runs).alias("hot"))
     one = runs.join(one, ["key", "run", "rid"]).join(index.select("rid", "file", "offset", "length"), "rid")
     pieces = C.materialize(one.sortWithinPartitions("rid").mapInArrow(_fetch(length), _PIECES_SQL), "pieces")
-    part = pieces.where("not hot").repartitionByRange(F.col("key")).sortWithinPartitions("key").mapInArrow(_compare(length), _SPANS_SQL)
+    part = pieces.where("not hot").repartitionByRange("lead1", "lead2", "key").sortWithinPartitions("lead1", "lead2", "key").mapInArrow(_compare(length, seed), _SPANS_SQL)
     single = pieces.where("hot").mapInArrow(_explode(length), "key long, string long, run long, rid long, at long, alone boolean")
     twice = single.groupBy("key", "string").agg((F.min("run") < F.max("run")).alias("twice")).where("twice").select("key", "string")
     hot = single.join(twice, ["key", "string"]).where("alone").select("rid", F.col("at").alias("s"), (F.col("at") + length).alias("e"))
