@@ -89,9 +89,9 @@ def test_few_rows_still_reject(spark):
     assert all(got[10**6 + i].rejected for i in range(len(foreign)))
     assert sum(r.rejected for r in got.values()) <= len(foreign) + 3
     models = L.fit(docs.where("lang <> 'de'").unionByName(own))
-    assert np.isfinite(models.limits).all()
+    assert np.isfinite(models.centres).all()
     one = L.fit(spark.createDataFrame([(1, "ein einziger kurzer satz", "de")], "doc_id long, text string, lang string"))
-    assert np.isfinite(one.limits).all()
+    assert np.isfinite(one.centres).all()
 
 
 def test_long_texts_do_not_shut_out_others(spark):
@@ -101,3 +101,34 @@ def test_long_texts_do_not_shut_out_others(spark):
     assert models.languages == ["de", "en"]
     got = {r.doc_id: r for r in L.identify(docs, models).collect()}
     assert all(got[i].lang_pred == ("de" if i < 100 else "en") for i in got)
+
+
+UNSEEN = [
+    "Lugha ni mfumo wa mawasiliano kati ya watu ambao hutumia sauti na maneno kueleza mawazo yao kwa wengine kila siku nyumbani na kazini",
+    "Kieli on ihmisten v\u00e4linen viestint\u00e4j\u00e4rjestelm\u00e4 jota k\u00e4ytet\u00e4\u00e4n ajatusten ja tunteiden ilmaisemiseen joka p\u00e4iv\u00e4 kotona ja ty\u00f6ss\u00e4",
+    "J\u0119zyk jest systemem znak\u00f3w s\u0142u\u017c\u0105cym ludziom do porozumiewania si\u0119 mi\u0119dzy sob\u0105 w domu i w pracy ka\u017cdego dnia tygodnia",
+    "A nyelv az emberek k\u00f6z\u00f6tti kommunik\u00e1ci\u00f3 eszk\u00f6ze amelyet mindennap haszn\u00e1lunk otthon \u00e9s a munkahely\u00fcnk\u00f6n is egyar\u00e1nt",
+    "\u042f\u0437\u044b\u043a \u044f\u0432\u043b\u044f\u0435\u0442\u0441\u044f \u0441\u0440\u0435\u0434\u0441\u0442\u0432\u043e\u043c \u043e\u0431\u0449\u0435\u043d\u0438\u044f \u043c\u0435\u0436\u0434\u0443 \u043b\u044e\u0434\u044c\u043c\u0438 \u0432\u043e \u0432\u0441\u0451\u043c \u043c\u0438\u0440\u0435",
+]
+
+
+def test_unseen_languages_are_rejected_and_few_others(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    extra = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(UNSEEN)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in L.identify(docs.unionByName(extra)).collect()}
+    out = [r for r in got.values() if r.held_out and r.doc_id < 10**6]
+    print("held-out rejected", sum(r.rejected for r in out), "of", len(out), "unseen", [got[10**6 + i].rejected for i in range(len(UNSEEN))])
+    assert sum(got[10**6 + i].rejected for i in range(len(UNSEEN))) == len(UNSEEN)
+    assert sum(r.rejected for r in out) <= 0.01 * len(out) + 1
+
+
+def test_calibration_holds_its_rate():
+    """Of new texts like those kept out, the stated share is rejected, at any length."""
+    rng = np.random.default_rng(2)
+    models = L.Models(L.Alphabet({97: 1, 98: 1}), {"x": (np.zeros(0, np.uint64), np.zeros(0))})
+    draw = lambda n: (lambda chars: (3 + rng.normal(0, 1, n) * np.sqrt(0.01 + 4 / chars), chars))(rng.integers(5, 2000, n).astype(float))
+    models.calibrate([draw(5000)], 0.01)
+    bits, chars = draw(50000)
+    for own in (chars < 100, chars >= 100, chars > 0):
+        share = (bits > models.centres[0] + models.reach * models.widths(chars))[own].mean()
+        assert 0.004 < share < 0.02

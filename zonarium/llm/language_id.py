@@ -3,10 +3,14 @@
 One model of order 4 for each language, over lower-cased text with white space folded. Each order is a sorted array of
 64-bit n-gram keys (16 bits a character) with a row of log-probabilities, one for each language, all interpolated when
 the model is built, so that scoring looks a position up once at the longest order any language has seen. A text's
-language is that of the lowest cross-entropy in bits per character. Texts whose cross-entropy exceeds what texts kept
-out of the counts needed, by more than `slack` bits, are rejected. A tenth of a language's sampled rows is kept out;
+language is that of the lowest cross-entropy in bits per character.
+
+Rejection is calibrated on texts kept out of the counts: their distances from their language's median, divided by
+sqrt(a + b / characters) as short texts vary more (a and b fitted), are pooled over the languages, and the limit is
+their conformal quantile at 1 - FALSE_REJECTS (the largest, where there are too few for that quantile). So of new texts
+like these, FALSE_REJECTS are expected to be rejected, at any length. A tenth of a language's sampled rows is kept out;
 where these are under 20, all its sampled rows are, part after part, and scored by a model of the others. A language of
-one row takes the highest limit of the others, or else what a model that knows nothing needs.
+one row takes the highest median of the others, or else what a model that knows nothing needs.
 
 The models are fitted on a bounded sample of the labelled rows: of each language the `max_docs` rows of least hash, as
 far as their texts, taken whole, have `max_chars` characters together (and `total_chars` over all languages); a text
@@ -30,7 +34,7 @@ from . import common as C
 ORDER = 4
 DISCOUNT = 0.75
 MAX_DOCS, MAX_CHARS, TOTAL_CHARS = 2000, 4_000_000, 40_000_000
-SLACK = 2.0
+FALSE_REJECTS = 0.002
 CALIBRATION, PARTS = 20, 10
 PAD = " " * (ORDER - 1)
 
@@ -51,6 +55,11 @@ class Alphabet:
         self.ids = np.zeros(0x110000, np.uint16)
         self.ids[self.points] = np.arange(1, len(self.points) + 1)
 
+    def gram_keys(self, points: np.ndarray) -> np.ndarray:
+        """The keys of n-grams given as rows of ORDER code points."""
+        x = self.ids[points].astype(C.U64)
+        return x[:, 0] << C.U64(48) | x[:, 1] << C.U64(32) | x[:, 2] << C.U64(16) | x[:, 3]
+
     def keys(self, text: str) -> np.ndarray:
         """The key of the ORDER characters that end at each character of the text, which begins with padding."""
         x = self.ids[_points(text)].astype(C.U64)
@@ -112,7 +121,29 @@ class Models:
             lower = p + rest[at] * below
             self.logp.append(np.log2(lower).astype(np.float32))
             self.backoff.append(np.log2(rest).astype(np.float32))
-        self.limits = np.full(size, np.inf)
+        self.centres, self.spread, self.reach = np.full(size, np.inf), (0.0, 0.0), 0.0
+
+    def calibrate(self, kept: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
+        """Sets the limits of rejection from each language's texts kept out: bits per character in it, and characters."""
+        parts = []
+        for j, (bits, chars) in enumerate(kept):
+            if len(bits):
+                self.centres[j] = np.median(bits)
+                parts.append((bits - self.centres[j], np.maximum(chars, 1)))
+        known = self.centres[np.isfinite(self.centres)]
+        self.centres[~np.isfinite(self.centres)] = known.max() if len(known) else np.log2(len(self.alphabet.points) + 1)
+        if not parts:
+            return
+        far, chars = (np.concatenate(x) for x in zip(*parts, strict=True))
+        a, b = np.linalg.lstsq(np.stack([np.ones(len(far)), 1 / chars], 1), far**2, rcond=None)[0]
+        if b < 0 or a < 0:
+            a, b = (float(np.mean(far**2)), 0.0) if b < 0 else (0.0, float(np.mean(far**2 * chars)))
+        self.spread = float(max(a, 1e-4)), float(b)
+        z = np.sort(far / self.widths(chars))
+        self.reach = float(z[min(len(z), int(np.ceil((len(z) + 1) * (1 - rate)))) - 1])
+
+    def widths(self, chars: np.ndarray) -> np.ndarray:
+        return np.sqrt(self.spread[0] + self.spread[1] / np.maximum(chars, 1))
 
     def log_probabilities(self, keys: np.ndarray) -> np.ndarray:
         """One row for each key, one column for each language; for each key an order that some language has seen."""
@@ -163,7 +194,7 @@ class Models:
             # The posterior of equal priors, on at most 50 characters' evidence: characters are far from independent.
             weight = np.minimum([len(t) for t in clean], 50)[:, None]
             score[at] = 1 / np.exp2(weight * (least[:, None] - h)).sum(axis=1)
-            bits[at], rejected[at] = least, least > self.limits[best]
+            bits[at], rejected[at] = least, least > self.centres[best] + max(self.reach, 0.0) * self.widths(np.array([len(t) for t in clean]))
             for i, b in zip(at, best, strict=True):
                 lang[i] = self.languages[b]
         return lang, score, bits, rejected
@@ -224,7 +255,7 @@ def _fitting(share: int):
     return fitting
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, total_chars: int = TOTAL_CHARS, slack: float = SLACK) -> Models:
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, total_chars: int = TOTAL_CHARS, false_rejects: float = FALSE_REJECTS) -> Models:
     """Models of the languages that rows outside the held-out fold are labelled with."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("text").rlike("\\S"))
     names = labelled.select("doc_id", "lang", F.length("text").alias("size")).withColumn("h", F.xxhash64("doc_id"))
@@ -234,30 +265,32 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, t
     few = F.count("*").over(W.partitionBy("lang")) < 10 * CALIBRATION
     first = first.select("doc_id", F.col("take").cast("int").alias("take"), "calibrate", few.alias("few")).dropDuplicates(["doc_id"])
     sample = labelled.join(F.broadcast(first), "doc_id").select("lang", F.expr("substring(text, 1, take)").alias("text"), "calibrate", "few")  # max_docs rows a language
-    rows = sample.mapInArrow(_count, "lang string, gram string, n long, kind long").groupBy("lang", "gram", "kind").agg(F.sum("n").alias("n")).toArrow().to_pylist()
-    grams = [(r["lang"], r["gram"], r["n"]) for r in rows if not r["kind"]]
-    characters: Counter = Counter()
-    for _, g, n in grams:
-        characters[ord(g[-1])] += n
-    characters[ord(" ")] += 1
-    alphabet = Alphabet(characters)
-    counts = {}
-    for lang in sorted({r["lang"] for r in rows}):
-        own = [(g, n) for one, g, n in grams if one == lang]
-        keys = np.array([alphabet.keys(g)[0] for g, _ in own], C.U64)
-        counts[lang] = _sum_by(keys, np.array([n for _, n in own], float)) if own else (np.zeros(0, C.U64), np.zeros(0))
+    rows = sample.mapInArrow(_count, "lang string, gram string, n long, kind long").groupBy("lang", "gram", "kind").agg(F.sum("n").alias("n")).toArrow()
+    kind, langs = rows.column("kind").to_numpy(), rows.column("lang").combine_chunks().dictionary_encode()
+    if isinstance(langs, pa.ChunkedArray):
+        langs = langs.combine_chunks()
+    names_, lang = langs.dictionary.to_pylist(), langs.indices.to_numpy()
+    grams = rows.filter(pa.array(kind == 0))
+    gram_lang, n = lang[kind == 0], grams.column("n").to_numpy().astype(float)
+    points = _points("".join(grams.column("gram").to_pylist())).reshape(-1, ORDER) if len(n) else np.zeros((0, ORDER), np.uint32)
+    seen = np.bincount(points[:, -1], weights=n, minlength=33)
+    seen[ord(" ")] += 1
+    alphabet = Alphabet({int(p): int(seen[p]) for p in np.flatnonzero(seen)})
+    keys, counts = alphabet.gram_keys(points), {}
+    for j, name in enumerate(names_):
+        counts[name] = _sum_by(keys[gram_lang == j], n[gram_lang == j])
     models = Models(alphabet, counts)
-    kept = [(r["lang"], r["gram"]) for r in rows if r["kind"] == 1]
-    h = models.entropies([t for _, t in kept]) if kept else np.zeros((0, len(models.languages)))
-    for j, lang in enumerate(models.languages):
-        own = [h[i, j] for i, (one, _) in enumerate(kept) if one == lang]
+    texts = rows.filter(pa.array(kind > 0)).to_pylist()
+    kept = []
+    for j, name in enumerate(models.languages):
+        own = sorted(r["gram"] for r in texts if r["kind"] == 1 and r["lang"] == name)
+        bits = models.entropies(own)[:, j] if own else np.zeros(0)
         if len(own) < CALIBRATION:
-            texts = sorted({r["gram"] for r in rows if r["kind"] and r["lang"] == lang})
-            own = _crossed(alphabet, lang, texts) if len(texts) > 1 else []
-        if own:
-            models.limits[j] = max(own) + slack
-    known = models.limits[np.isfinite(models.limits)]
-    models.limits[~np.isfinite(models.limits)] = max(known) if len(known) else np.log2(len(alphabet.points) + 1)
+            own = sorted({r["gram"] for r in texts if r["lang"] == name})
+            own, bits = (own, np.array(_crossed(alphabet, name, own))) if len(own) > 1 else ([], np.zeros(0))
+            own = [t for k in range(min(PARTS, len(own))) for t in own[k :: min(PARTS, len(own))]]
+        kept.append((bits, np.array([len(t) for t in own], float)))
+    models.calibrate(kept, false_rejects)
     return models
 
 
