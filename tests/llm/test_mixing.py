@@ -59,3 +59,10 @@ def test_counts():
     of = lambda t: M.counts_of(np.frombuffer(t.encode(), np.uint8))
     assert of("") == (0, "empty") and of("é x\ty") == (3, "short")
     assert of("word " * 60) == (61, "prose") and of("word\n" * 60)[1] == "lines" and of("12345 wo " * 60)[1] == "numbers" and of("wo*** " * 60)[1] == "symbols"
+
+
+def test_targets_that_cannot_be_met_are_told():
+    tokens = np.array([5.0, 5.0])
+    codes = [np.array([0, 1]), np.array([0, 1])]
+    with pytest.warns(UserWarning, match="raking ended"):
+        M.rake(tokens, codes, [np.array([0.9, 0.1]), np.array([0.1, 0.9])])

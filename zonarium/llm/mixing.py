@@ -11,6 +11,7 @@ show: empty, short, symbols, numbers, lines or prose. Default targets flatten wh
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +26,12 @@ POWERS = {"source": 0.7, "lang": 0.5, "topic": 0.5}
 FRACTION = 0.7
 #: Up to so many cells are raked on the driver and broadcast; beyond that both are joins.
 DRIVER_CELLS = 100_000
-_ROUNDS, _CLOSE = 200, 1e-9
+_ROUNDS, _CLOSE = 200, 1e-8
+
+
+def _settled(off: float) -> None:
+    if off >= _CLOSE:
+        warnings.warn(f"raking ended after {_ROUNDS} rounds, {off:.3g} from the targets: no weights on these cells may meet them", stacklevel=3)
 
 
 _SYMBOLS = np.frombuffer(b"!\"#$%&'()*+-/:;<=>?@[\\]^_`{|}~", np.uint8)
@@ -70,7 +76,10 @@ def _counted(docs: DataFrame, topic: Column | None, row: Column | None) -> DataF
 
 
 def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
-    """Weights proportional to tokens within what the marginals leave open, with each dimension's sums at its targets."""
+    """Weights proportional to tokens within what the marginals leave open, with each dimension's sums at its targets.
+
+    Warns where the targets are not met after all rounds.
+    """
     w = tokens / max(tokens.sum(), 1)
     for _ in range(_ROUNDS):
         off = 0.0
@@ -80,6 +89,7 @@ def rake(tokens: np.ndarray, codes: list[np.ndarray], targets: list[np.ndarray])
             w = w * np.divide(target, have, out=np.zeros_like(target), where=have > 0)[code]
         if off < _CLOSE:
             break
+    _settled(off)
     return w
 
 
@@ -145,8 +155,9 @@ def _rake_joined(cells: DataFrame, targets: dict[str, dict], fraction: float) ->
             both = have.join(goals[d], F.col("_d2").eqNullSafe(F.col("_d"))).select("_d2", "have", "goal")
             off = max(off, both.agg(F.max(F.abs(F.col("have") - F.col("goal")))).first()[0] or 0.0)
             now = now.join(both, F.col(d).eqNullSafe(F.col("_d2"))).select(*DIMENSIONS, "tokens", F.when(F.col("have") > 0, F.col("w") * F.col("goal") / F.col("have")).otherwise(0.0).alias("w"))
-        if off < 1e-6:
+        if off < _CLOSE:
             break
+    _settled(off)
     now = C.materialize(now, "raked")
     low, high, wanted = 0.0, now.where("w > 0").agg(F.max(F.col("tokens") / F.col("w"))).first()[0] or 0.0, fraction * total
     for _ in range(60):
