@@ -294,6 +294,34 @@ def q_empdigest_points(spark, sf_dir):
     return d.select("zone_id", *(F.element_at(F.col("d.data"), i + 1).alias(n) for i, n in enumerate(_DIGEST)))
 
 
+def _object_query(name: str, family: str) -> Callable:
+    """An object of each zone: what a distribution says of one value, or the points of a digest."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from zonarium.functions.empirical import cdf_of
+
+        lists = {k: [{n: {"nApprox": len(_DIGEST)} if family == "EmpDigest" else {}} for n in v] for k, v in _lists([name]).items()}
+        d = zonal_statistics(px_lineitem(spark, sf_dir), **lists, bands=[BAND], units=UNITS).select("zone_id", F.col(f"`{BAND}_{name}`").alias("d"))
+        if family == "EmpDigest":
+            return d.select("zone_id", *(F.element_at(F.col("d.data"), i + 1).alias(n) for i, n in enumerate(_DIGEST)))
+        return d.where("d is not null").select("zone_id", F.round(cdf_of(F.col("d"), F.lit(30000.0)), 9).alias("result"))
+
+    return run
+
+
+def _object_sql(rule: str, weighted: bool, family: str) -> str:
+    if family == "EmpDigest":
+        return f"WITH {PX_L}, {quantile_sql(rule, weighted, _DIGEST, UNITS)}"
+    c, where = _rule_sql(rule, UNITS.full)
+    u = f"({c}) * weight" if weighted else f"({c})"
+    return f"WITH {PX_L} SELECT zone_id, round(coalesce(sum({u}) FILTER (WHERE {where} AND value <= 3000000), 0)::DOUBLE / (sum({u}) FILTER (WHERE {where}))::DOUBLE, 9) AS result FROM px GROUP BY zone_id HAVING sum({u}) FILTER (WHERE {where}) > 0"
+
+
+for _name, (_rule, _weighted, _family) in spec.REGISTRY.items():
+    if _family in spec.OBJECTS and _name not in ("empDist", "unweightedEmpDigest"):
+        QUERIES[f"q_{_name}"] = _object_query(_name, _family)
+        ORACLE[f"q_{_name}"] = _object_sql(_rule, _weighted, _family)
+
 _X = "CAST(l_quantity AS DOUBLE)"
 _FITS = {
     "normal": {"mu": "avg(x)", "sigma": "stddev_pop(x)"},
@@ -430,7 +458,23 @@ def q_extract_true_area(spark, sf_dir):
     return out.select("id", F.round(F.col("price_band_1_weight") / 1e6, 0).alias("area_km2"), F.round("price_band_1_mean", 1).alias("mean_price"))
 
 
-@_query()
+#: Where the sides of the triangles below turn or cross a row's edges.
+_TURNS = ["x + 1.2::DOUBLE"] + [f"x + {t}" for r in ("row", "(row + 1)") for t in (f"({r} - y) * 9.25::DOUBLE", f"({r} - y) * 1.2::DOUBLE / 4.1::DOUBLE", f"1.2::DOUBLE + (y + 4.1::DOUBLE - {r}) * 2.5::DOUBLE / 3.7::DOUBLE")]
+
+
+@_query(
+    """WITH z AS (SELECT c_custkey AS zone_id, (c_custkey * 37 % 900) / 10.0::DOUBLE AS x, (c_custkey * 91 % 900) / 10.0::DOUBLE AS y FROM customer),
+p AS (SELECT l_orderkey % 100 AS col, l_partkey % 100 AS row, max(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2),
+c AS (SELECT z.*, p.*, greatest(col, x) AS lo, least(col + 1, x + 3.7::DOUBLE) AS hi FROM z JOIN p ON col < x + 3.7::DOUBLE AND col + 1 > x AND row < y + 4.1::DOUBLE AND row + 1 > y),
+b AS (SELECT *, list_sort([lo, hi, """
+    + ", ".join(f"least(greatest({t}, lo), hi)" for t in _TURNS)
+    + """]) AS k FROM c),
+i AS (SELECT zone_id, col, row, value, x, y, k[n] AS a, k[n + 1] AS e, (k[n] + k[n + 1]) / 2 - x AS m FROM b, generate_series(1, 8) AS g(n)),
+h AS (SELECT zone_id, col, row, value, x, y, sum((e - a) * greatest(0, least(y + CASE WHEN m < 1.2::DOUBLE THEN m * 4.1::DOUBLE / 1.2::DOUBLE ELSE 4.1::DOUBLE - (m - 1.2::DOUBLE) * 3.7::DOUBLE / 2.5::DOUBLE END, row + 1) - greatest(y + m / 9.25::DOUBLE, row))) AS cover FROM i GROUP BY ALL),
+v AS (SELECT *, col + 0.5::DOUBLE - x AS u, row + 0.5::DOUBLE - y AS w, CASE WHEN cover > 1 - 1e-9::DOUBLE THEN 1 ELSE cover END AS coverage FROM h WHERE cover >= 1e-9::DOUBLE)
+SELECT zone_id, round(sum(coverage * value) / sum(coverage), 4) AS mean, round(sum(coverage), 6) AS weight, round(avg(value) FILTER (WHERE coverage < 1), 6) AS boundary_mean,
+  round(sum(CASE WHEN coverage = 1 OR (u > 0 AND u < 3.7::DOUBLE AND w > u / 9.25::DOUBLE AND w < CASE WHEN u < 1.2::DOUBLE THEN u * 4.1::DOUBLE / 1.2::DOUBLE ELSE 4.1::DOUBLE - (u - 1.2::DOUBLE) * 3.7::DOUBLE / 2.5::DOUBLE END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS centre_weight FROM v GROUP BY zone_id"""
+)
 def q_polygon_clip(spark, sf_dir):
     """Triangles from customers over the grid: coverage by exact clipping, then statistics."""
     from zonarium.operators.polygons import zone_pixels
@@ -440,7 +484,8 @@ def q_polygon_clip(spark, sf_dir):
     zones = table(spark, sf_dir, "customer").select(k.alias("zone_id"), F.format_string("POLYGON((%s %s, %s %s, %s %s, %s %s))", x, y, x + 3.7, y + 0.4, x + 1.2, y + 4.1, x, y).alias("geometry"))
     pixels = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 100).alias("col"), (F.col("l_partkey") % 100).alias("row")).agg(F.max("l_extendedprice").alias("value"))
     px = zone_pixels(zones, grid.Affine()).join(pixels, ["col", "row"]).withColumns({"weight": F.lit(1.0), "band_name": F.lit(BAND)})
-    return zonal_statistics(px, ["mean", "weight", "boundaryMean"], ["centroidBasedWeight"], bands=[BAND])
+    out = zonal_statistics(px, ["mean", "weight", "boundaryMean"], ["centroidBasedWeight"], bands=[BAND])
+    return out.select("zone_id", *(F.round(F.col(f"{BAND}_{n}"), d).alias(a) for n, d, a in (("mean", 4, "mean"), ("weight", 6, "weight"), ("boundaryMean", 6, "boundary_mean"), ("centroidBasedWeight", 6, "centre_weight"))))
 
 
 @_query()
