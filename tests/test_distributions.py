@@ -148,3 +148,20 @@ def test_joint(spark):
         JointDistribution(m[:2], [[1, 1.2], [1.2, 1]])
     with pytest.raises(RuntimeError):
         JointDistribution([D.Distribution("poisson", "PAR", [3])] * 2, [[1, 0.2], [0.2, 1]], nodes=64).x_to_u([[1, 2]])
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_save_and_load(tmp_path, compressed):
+    from zonarium.functions.distributions import Distribution
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=200)
+    made = [Distribution("normal", "PAR", [1, 2]), Distribution("gev", "PAR", [0.1, 11, 19]), Distribution("binomial", "PAR", [50, 0.3]), Distribution("empirical", "DATA", [x, None, "nearest"]), Distribution("empiricaldigest", "DATA", [x, None, 30, "densityFocused", None, "nearest"])]
+    for d in made:
+        d.save(path := f"{tmp_path}/{d.name}", compressed)
+        back = Distribution.load(path)
+        q = np.linspace(0.05, 0.95, 7)
+        assert back.name == d.name and np.allclose(back.icdf(q), d.icdf(q), rtol=1e-13) and np.allclose(back.cdf(np.sort(x[:9])), d.cdf(np.sort(x[:9])), rtol=1e-13)
+    (tmp_path / "no").write_bytes(b"nothing")
+    with pytest.raises(ValueError):
+        Distribution.load(f"{tmp_path}/no")

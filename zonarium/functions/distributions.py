@@ -6,7 +6,10 @@ quantile function say so; the others search for it by bisection on their cdf.
 
 from __future__ import annotations
 
+import gzip
+import json
 import math
+import os
 
 import numpy as np
 import pandas as pd
@@ -14,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonarium.functions import special as S
-from zonarium.functions.empirical import EmpDigest, EmpDist
+from zonarium.functions.empirical import EmpDigest, EmpDist, from_row
 
 _TINY = 1e-300
 
@@ -1031,6 +1034,37 @@ class Distribution:
     def to_row(self) -> dict:
         return {"name": self.name, "par": self.par, "empirical": self.dist.to_row() if isinstance(self.dist, EmpDist) else None}
 
+    @classmethod
+    def from_row(cls, row) -> Distribution:
+        """The distribution of what to_row gives (a Row or a dict)."""
+        r = row if isinstance(row, dict) else row.asDict(recursive=True)
+        if r.get("empirical") is None:
+            return cls(r["name"], "PAR", list(r["par"].values()))
+        out = object.__new__(cls)
+        out.name, out.ID, out.dist = r["name"], False, from_row(r["empirical"])
+        return out
+
+    def save(self, path: str, compressed: bool = True) -> None:
+        """Writes the distribution as JSON, gzipped if compressed; any family."""
+        text = json.dumps({"format": "distribution-1", "id": bool(self.ID), **self.to_row()}).encode()
+        with open(f"{path}.part", "wb") as f:
+            f.write(gzip.compress(text, mtime=0) if compressed else text)
+        os.replace(f"{path}.part", path)
+
+    @classmethod
+    def load(cls, path: str) -> Distribution:
+        with open(path, "rb") as f:
+            raw = f.read()
+        try:
+            row = json.loads(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)
+        except ValueError as e:
+            raise ValueError(f"{path} holds no distribution") from e
+        if not isinstance(row, dict) or row.get("format") != "distribution-1":
+            raise ValueError(f"{path} holds no distribution")
+        out = cls.from_row(row)
+        out.ID = row["id"]
+        return out
+
 
 # Fits that are closed formulas of sums run as aggregates, one shuffle for any number of groups.
 
