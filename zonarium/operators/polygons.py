@@ -266,11 +266,18 @@ def centroid_coverage(pixels: DataFrame, zones: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple = (None, None)
         for batch in batches:
-            out = []
-            for value, c, x, y in zip(*(batch.column(n).to_pylist() for n in ("_geometry", "coverage", "center_x", "center_y")), strict=True):
-                if known[0] is not value and known[0] != value:
-                    known = (value, parse_geometry(value))
-                out.append(c == 1.0 or bool(strictly_inside(known[1], np.array([x]), np.array([y]))[0]))
+            values = batch.column("_geometry").to_pylist()
+            cover, x, y = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("coverage", "center_x", "center_y"))
+            out, at = np.asarray(cover == 1.0), 0
+            while at < len(values):
+                # The pixels of a zone come together: one test for each stretch of one geometry.
+                end = at + 1
+                while end < len(values) and (values[end] is values[at] or values[end] == values[at]):
+                    end += 1
+                if known[0] != values[at]:
+                    known = (values[at], parse_geometry(values[at]))
+                out[at:end] |= strictly_inside(known[1], x[at:end], y[at:end])
+                at = end
             yield pa.RecordBatch.from_arrays([batch.column(n) for n in names] + [pa.array(out, pa.bool_())], names=[*names, "centroid_in"])
 
     joined = pixels.join(zones.select("zone_id", F.col("geometry").alias("_geometry")), "zone_id")

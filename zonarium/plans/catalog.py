@@ -285,6 +285,20 @@ def q_empdist_merge_quantile(spark, sf_dir):
     return merge_objects(parts, "g", "d", "zone_id").select(F.col("g").alias("zone_id"), ppf_of(F.col("d"), 0.4999).alias("result"))
 
 
+def _merged(strategy: str) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from zonarium.functions.empirical import merge_objects, ppf_of
+
+        parts = _empirical(spark, sf_dir).where("d is not null").select((F.col("zone_id") % 10).alias("g"), "zone_id", "d")
+        return merge_objects(parts, "g", "d", "zone_id", strategy).select(F.col("g").alias("zone_id"), ppf_of(F.col("d"), 0.4999).alias("result"))
+
+    return run
+
+
+for _name in ("sequential", "minorization"):
+    QUERIES[f"q_empdist_merge_{_name}"] = _merged(_name)
+    ORACLE[f"q_empdist_merge_{_name}"] = ORACLE["q_empdist_merge_quantile"]
+
 _DIGEST = {f"p{i:02d}": Fraction(i, 16) for i in range(17)}
 
 
@@ -488,11 +502,18 @@ def q_polygon_clip(spark, sf_dir):
     return out.select("zone_id", *(F.round(F.col(f"{BAND}_{n}"), d).alias(a) for n, d, a in (("mean", 4, "mean"), ("weight", 6, "weight"), ("boundaryMean", 6, "boundary_mean"), ("centroidBasedWeight", 6, "centre_weight"))))
 
 
-@_query()
+@_query(
+    f"""WITH {PX_L}, v AS (SELECT zone_id, value * 0.01::DOUBLE AS x, sum(coverage * weight)::DOUBLE AS u FROM px GROUP BY zone_id, value HAVING sum(coverage * weight) > 0),
+n AS (SELECT zone_id, x, u / sum(u) OVER (PARTITION BY zone_id) AS w FROM v),
+m AS (SELECT zone_id, sum(w * x) AS mu, sum(w * w) AS q FROM n GROUP BY 1),
+s AS (SELECT zone_id, any_value(q) AS q, sum(w * (x - mu) * (x - mu)) / nullif(1 - any_value(q), 0) AS spread FROM n JOIN m USING (zone_id) GROUP BY 1),
+h AS (SELECT zone_id, sqrt(spread) * pow(1 / q, -0.2::DOUBLE) AS h FROM s)
+SELECT zone_id, round(CASE WHEN any_value(h) > 0 THEN sum(w * exp(-0.5::DOUBLE * pow((30000 - x) / h, 2))) / (any_value(h) * sqrt(2 * pi())) ELSE 0 END, 12) AS density FROM n JOIN h USING (zone_id) GROUP BY zone_id"""
+)
 def q_kde(spark, sf_dir):
     from zonarium.functions.empirical import pdf_of
 
-    return _empirical(spark, sf_dir, "empDist", {"pdfMethod": "kde"}).where("d is not null").select("zone_id", pdf_of(F.col("d"), F.lit(30000.0)).alias("density"))
+    return _empirical(spark, sf_dir, "empDist", {"pdfMethod": "kde"}).where("d is not null").select("zone_id", F.round(pdf_of(F.col("d"), F.lit(30000.0)), 12).alias("density"))
 
 
 @_query()
