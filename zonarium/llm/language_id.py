@@ -7,8 +7,10 @@ language is that of the lowest cross-entropy in bits per character.
 
 Rejection is calibrated on texts kept out of the counts: their distances from their language's median, divided by
 sqrt(a + b / characters) as short texts vary more (a and b fitted), are pooled over the languages, and the limit is
-their conformal quantile at 1 - FALSE_REJECTS (the largest, where there are too few for that quantile). So of new texts
-like these, FALSE_REJECTS are expected to be rejected, at any length. A tenth of a language's sampled rows is kept out;
+their conformal quantile at 1 - FALSE_REJECTS (the largest, where there are too few for that quantile), at any length.
+What texts of the other languages need in a language's model stands for languages unknown to it: the limit is raised
+half the way from there to their lowest hundredth. So no more than FALSE_REJECTS of new texts like these are expected to
+be rejected, and at most a hundredth of texts like those of other languages to be taken. A tenth of a language's sampled rows is kept out;
 where these are under 20, all its sampled rows are, part after part, and scored by a model of the others. A language of
 one row takes the highest median of the others, or else what a model that knows nothing needs.
 
@@ -121,10 +123,11 @@ class Models:
             lower = p + rest[at] * below
             self.logp.append(np.log2(lower).astype(np.float32))
             self.backoff.append(np.log2(rest).astype(np.float32))
-        self.centres, self.spread, self.reach = np.full(size, np.inf), (0.0, 0.0), 0.0
+        self.centres, self.margins, self.spread, self.reach = np.full(size, np.inf), np.zeros(size), (0.0, 0.0), 0.0
 
-    def calibrate(self, kept: list[tuple[np.ndarray, np.ndarray]], rate: float) -> None:
-        """Sets the limits of rejection from each language's texts kept out: bits per character in it, and characters."""
+    def calibrate(self, kept: list[tuple[np.ndarray, np.ndarray]], rate: float, foreign: list[np.ndarray] | None = None) -> None:
+        """Sets the limits of rejection from each language's texts kept out: bits per character in it, and characters;
+        and from the bits that other languages' texts need in it."""
         parts = []
         for j, (bits, chars) in enumerate(kept):
             if len(bits):
@@ -140,7 +143,14 @@ class Models:
             a, b = (float(np.mean(far**2)), 0.0) if b < 0 else (0.0, float(np.mean(far**2 * chars)))
         self.spread = float(max(a, 1e-4)), float(b)
         z = np.sort(far / self.widths(chars))
-        self.reach = float(z[min(len(z), int(np.ceil((len(z) + 1) * (1 - rate)))) - 1])
+        self.reach = max(0.0, float(z[min(len(z), int(np.ceil((len(z) + 1) * (1 - rate)))) - 1]))
+        for j, bits in enumerate(foreign or []):
+            if len(bits):
+                self.margins[j] = max(0.0, (np.quantile(bits, 0.01) - self.centres[j] - self.reach * np.sqrt(self.spread[0])) / 2)
+
+    def limit(self, language: np.ndarray, chars: np.ndarray) -> np.ndarray:
+        """Bits per character above which texts of so many characters are rejected."""
+        return self.centres[language] + self.margins[language] + self.reach * self.widths(chars)
 
     def widths(self, chars: np.ndarray) -> np.ndarray:
         return np.sqrt(self.spread[0] + self.spread[1] / np.maximum(chars, 1))
@@ -194,7 +204,7 @@ class Models:
             # The posterior of equal priors, on at most 50 characters' evidence: characters are far from independent.
             weight = np.minimum([len(t) for t in clean], 50)[:, None]
             score[at] = 1 / np.exp2(weight * (least[:, None] - h)).sum(axis=1)
-            bits[at], rejected[at] = least, least > self.centres[best] + max(self.reach, 0.0) * self.widths(np.array([len(t) for t in clean]))
+            bits[at], rejected[at] = least, least > self.limit(best, np.array([len(t) for t in clean]))
             for i, b in zip(at, best, strict=True):
                 lang[i] = self.languages[b]
         return lang, score, bits, rejected
@@ -281,16 +291,19 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, t
         counts[name] = _sum_by(keys[gram_lang == j], n[gram_lang == j])
     models = Models(alphabet, counts)
     texts = rows.filter(pa.array(kind > 0)).to_pylist()
-    kept = []
+    kept, out = [], sorted((r["lang"], r["gram"]) for r in texts if r["kind"] == 1)
+    every = models.entropies([t for _, t in out]) if out else np.zeros((0, len(models.languages)))
+    whose, long_ = np.array([x for x, _ in out], object), np.array([len(t) >= 50 for _, t in out], bool)
+    foreign = [every[(whose != name) & long_, j] for j, name in enumerate(models.languages)] if out else []
     for j, name in enumerate(models.languages):
         own = sorted(r["gram"] for r in texts if r["kind"] == 1 and r["lang"] == name)
-        bits = models.entropies(own)[:, j] if own else np.zeros(0)
+        bits = every[whose == name, j] if own else np.zeros(0)
         if len(own) < CALIBRATION:
             own = sorted({r["gram"] for r in texts if r["lang"] == name})
             own, bits = (own, np.array(_crossed(alphabet, name, own))) if len(own) > 1 else ([], np.zeros(0))
             own = [t for k in range(min(PARTS, len(own))) for t in own[k :: min(PARTS, len(own))]]
         kept.append((bits, np.array([len(t) for t in own], float)))
-    models.calibrate(kept, false_rejects)
+    models.calibrate(kept, false_rejects, foreign)
     return models
 
 
