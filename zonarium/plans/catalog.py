@@ -439,7 +439,7 @@ g AS (SELECT p.i AS col, p.j AS row, (0.5::DOUBLE * abs(p.x * q.y - q.x * p.y +
 h AS (SELECT l_orderkey % 100 AS col, l_partkey % 100 AS row, max(l_extendedprice)::FLOAT::DOUBLE AS value FROM lineitem GROUP BY 1, 2),
 z AS (SELECT c_custkey AS id, (c_custkey * 37 % 900) / 10.0::DOUBLE AS x0, (c_custkey * 91 % 900) / 10.0::DOUBLE AS y0, (c_custkey * 37 % 900 + 5 + c_custkey % 7 * 7) / 10.0::DOUBLE AS x1, (c_custkey * 91 % 900 + 5 + c_custkey % 5 * 9) / 10.0::DOUBLE AS y1 FROM customer),
 t AS (SELECT id, value, area * (least(x1, col + 1) - greatest(x0, col)) * (least(y1, row + 1) - greatest(y0, row)) AS u FROM z JOIN g ON col < x1 AND col + 1 > x0 AND row < y1 AND row + 1 > y0 JOIN h USING (row, col))
-SELECT id, round(sum(u) / 1e6::DOUBLE, 0) AS area_km2, round(sum(u * value) / sum(u), 1) AS mean_price FROM t GROUP BY id"""
+SELECT id, round(sum(u) / 1e6::DOUBLE, 0) AS area_km2, round(sum(u * value) / sum(u), 1) AS mean_price FROM z LEFT JOIN t USING (id) GROUP BY id"""
 
 
 def _grid_raster(spark: SparkSession, sf_dir: str) -> str:
@@ -487,7 +487,7 @@ i AS (SELECT zone_id, col, row, value, x, y, k[n] AS a, k[n + 1] AS e, (k[n] + k
 h AS (SELECT zone_id, col, row, value, x, y, sum((e - a) * greatest(0, least(y + CASE WHEN m < 1.2::DOUBLE THEN m * 4.1::DOUBLE / 1.2::DOUBLE ELSE 4.1::DOUBLE - (m - 1.2::DOUBLE) * 3.7::DOUBLE / 2.5::DOUBLE END, row + 1) - greatest(y + m / 9.25::DOUBLE, row))) AS cover FROM i GROUP BY ALL),
 v AS (SELECT *, col + 0.5::DOUBLE - x AS u, row + 0.5::DOUBLE - y AS w, CASE WHEN cover > 1 - 1e-9::DOUBLE THEN 1 ELSE cover END AS coverage FROM h WHERE cover >= 1e-9::DOUBLE)
 SELECT zone_id, round(sum(coverage * value) / sum(coverage), 4) AS mean, round(sum(coverage), 6) AS weight, round(avg(value) FILTER (WHERE coverage < 1), 6) AS boundary_mean,
-  round(sum(CASE WHEN coverage = 1 OR (u > 0 AND u < 3.7::DOUBLE AND w > u / 9.25::DOUBLE AND w < CASE WHEN u < 1.2::DOUBLE THEN u * 4.1::DOUBLE / 1.2::DOUBLE ELSE 4.1::DOUBLE - (u - 1.2::DOUBLE) * 3.7::DOUBLE / 2.5::DOUBLE END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS centre_weight FROM v GROUP BY zone_id"""
+  nullif(round(sum(CASE WHEN coverage = 1 OR (u > 0 AND u < 3.7::DOUBLE AND w > u / 9.25::DOUBLE AND w < CASE WHEN u < 1.2::DOUBLE THEN u * 4.1::DOUBLE / 1.2::DOUBLE ELSE 4.1::DOUBLE - (u - 1.2::DOUBLE) * 3.7::DOUBLE / 2.5::DOUBLE END) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6), 0) AS centre_weight FROM v GROUP BY zone_id"""
 )
 def q_polygon_clip(spark, sf_dir):
     """Triangles from customers over the grid: coverage by exact clipping, then statistics."""
