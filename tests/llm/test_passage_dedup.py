@@ -306,3 +306,60 @@ def test_windows_of_many_texts_are_the_trees_nodes(monkeypatch):
                 assert got == want
             begin = end
         assert begin == len(keys)
+
+
+def chains_corpus(seed, docs=60):
+    """Texts around one shared line whose passages drift: each is similar to the next, none to those farther off."""
+    rng = random.Random(seed)
+    fresh = lambda n: ["w%d" % rng.randrange(10**9) for _ in range(n)]
+    line, right, out = fresh(26), fresh(24 + docs), []
+    for i in range(docs):
+        # Every third text has the line among words of its own; the others, words beside it that move on.
+        beside = fresh(24) if i % 3 == 2 else right[i // 3 : i // 3 + 24]
+        out.append(fresh(30) + line + beside + fresh(30))
+    return out
+
+
+def test_results_do_not_depend_on_what_a_task_gathers(spark):
+    """Classes, words and passages that count are the same, whatever the size at which groups are split."""
+    for texts in (chains_corpus(21), phrases_corpus(22, 40)):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(2)
+        want = {r.doc_id: r for r in P.passage_classes(df).collect()}
+        assert len({r.class_id for r in want.values()}) < len(texts)
+        for gathered in (2, 5):
+            assert {r.doc_id: r for r in P.passage_classes(df, gathered=gathered).collect()} == want, gathered
+
+
+def test_groups_lose_no_similar_window():
+    """A group links what all pairs of its windows link, and each window meets the first similar one, split or not."""
+    for seed in range(4):
+        texts = chains_corpus(seed, 36) + phrases_corpus(seed, 30)
+        windows = {}
+        for rid, t in enumerate(texts):
+            words = P.words_of(" ".join(t).encode())
+            keys, places, _ = P.windows_of(words, np.array([0, len(words)]))
+            tokens = P.shingles_of(words, P.SHINGLE)
+            for key, place in zip(keys.tolist(), places.tolist()):
+                begin, near = P._context(tokens, place >> 2 * P._BITS)
+                windows.setdefault(key, []).append((rid, place, begin, near.astype(np.uint32).view(np.int32), rid, 0))
+        seen = 0
+        for rows in windows.values():
+            group = P._Group(46, 0.8)
+            for r in rows:
+                group.add(*r)
+            want, first = set(), {}
+            for i, (ra, pa_, a0, x, *_) in enumerate(rows):
+                for rb, pb, b0, y, *_ in rows[i + 1 :]:
+                    if ra != rb and P._passage(x, y, (pa_ >> 8) - a0, (pb >> 8) - b0, 46, 0.8, {})[0]:
+                        want.add((ra, rb))
+                        first.setdefault((ra, pa_), (rb, pb))
+                        first.setdefault((rb, pb), (ra, pa_))
+            for rb, pb, *_ in rows:
+                before = [(ra, pa_) for ra, pa_, *_ in rows if first.get((rb, pb)) == (ra, pa_)]
+                assert len(before) == ((rb, pb) in first)
+            found = group.compare()
+            assert classes(len(texts), {r[:2] for r in found}) == classes(len(texts), want)
+            got = {(r[0], r[7]): (r[1], r[8]) for r in found if r[9]} | {(r[1], r[8]): (r[0], r[7]) for r in found if r[10]}
+            assert got == first
+            seen += len(want)
+        assert seen > 100
