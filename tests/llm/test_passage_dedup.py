@@ -363,3 +363,34 @@ def test_groups_lose_no_similar_window():
             assert got == first
             seen += len(want)
         assert seen > 100
+
+
+def test_a_seed_is_looked_at_once(monkeypatch):
+    """However far lines repeat with small changes around a seed, what belongs to it is found without widening looks."""
+    rng = random.Random(31)
+    fresh = lambda n: ["w%d" % rng.randrange(10**9) for _ in range(n)]
+    line = fresh(36)
+    a = P.tokens_of(" ".join(line * 9).encode())
+    b = P.tokens_of(" ".join(w for _ in range(60) for w in line[:-1] + fresh(1)).encode())
+    calls, near = [], P.near_passage
+    monkeypatch.setattr(P, "near_passage", lambda *x, **y: calls.append(1) or near(*x, **y))
+    known, seeds = {}, [d for d in range(len(b)) if b[d] == a[0] and len(b) - d > 50]
+    for d in seeds:
+        P._passage(a, b, 36, d, 46, 0.8, known)
+    assert len(seeds) > 50 and len(calls) <= len(seeds)
+
+
+def test_balance_never_tells_similar_windows_apart():
+    """Windows that repeat tokens: where stretches around the seeds are similar, both sides together may be."""
+    rng = np.random.default_rng(32)
+    seen = 0
+    for _ in range(400):
+        base = rng.integers(0, 9, 24).astype(np.uint64)
+        x, y = (np.where(rng.random(24) < 0.15, rng.integers(0, 14, 24).astype(np.uint64), base) for _ in range(2))
+        c, width = 12, 8
+        x[c] = y[c] = base[c]
+        stretches = [(s, e) for s in range(c + 1) for e in range(max(c + 1, s + width), 25)]
+        if any(P.similar(x[s:e], y[t:f], 0.8) for s, e in stretches[::7] for t, f in stretches[::5]):
+            seen += 1
+            assert P._balance(x, P._among(x, y), c, width, 4.0) + P._balance(y, P._among(y, x), c, width, 4.0) >= -1e-6
+    assert seen > 50
