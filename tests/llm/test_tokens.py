@@ -34,6 +34,20 @@ def test_encoder_equals_library():
         assert np.frombuffer(e.encode(x or ""), "<u4").tolist() == t.encode(x or "", add_special_tokens=False).ids, repr(x)
 
 
+def test_texts_together_equal_library():
+    """Texts encoded by their different words, in chunks of any size; a word of several parts is not remembered whole."""
+    t = Tokenizer.from_file(PATH)
+    all_ = [x or "" for x in texts()] + ["one two.\nThree, two.\nThree, größer, größer.\nÜber one", "", "same " * 500 + "end"]
+    for limit in (1, 300, 1 << 23):
+        e = T.Encoder(PATH, room=20)
+        got = list(e.encode_many(all_, limit))
+        assert [x.tolist() for x in got] == [t.encode(x, add_special_tokens=False).ids for x in all_]
+    assert list(e.encode_many([])) == []
+    e = T.Encoder(PATH)
+    list(e.encode_many(["a one, two.\nThree one,"]))
+    assert {"one", "two"} <= set(e.words) <= {"a", "one", "two"}
+
+
 def test_shards(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(T, "BLOCK", 128)
     t = Tokenizer.from_file(PATH)

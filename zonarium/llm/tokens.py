@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,9 +32,13 @@ from . import common as C
 
 MAGIC = b"ZNS8B\x001\n"
 BLOCK = 1 << 16
+#: Bytes of texts whose words are looked up together.
+CHUNK = 1 << 22
 #: (ids in a word, bits of each) by selector; 15 is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
+#: Bits of small ids.
+_SIZES = np.frexp(np.arange(1 << 16, dtype=float))[1].astype(np.int8)
 _BLOCKS = np.dtype([("word", "<u8"), ("words", "<u4"), ("ids", "<u4")])
 
 
@@ -44,17 +49,21 @@ def pack(ids: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(0, C.U64)
     chosen = np.full(n, ESCAPE, np.int8)
-    # Bits of each id; frexp is exact up to 2**53 and rounds only what no selector but the widest could hold.
-    size = np.frexp(v.astype(float))[1].astype(np.int8)
-    size[(v >> C.U64(53)) != 0] = 60
-    size[(v >> C.U64(60)) != 0] = 64
+    if v.max() < len(_SIZES):
+        size = _SIZES[v]
+    else:
+        # Bits of each id; frexp is exact up to 2**53 and rounds only what no selector but the widest could hold.
+        size = np.frexp(v.astype(float))[1].astype(np.int8)
+        size[(v >> C.U64(53)) != 0] = 60
+        size[(v >> C.U64(60)) != 0] = 64
+    most = int(size.max())
     for s in range(len(SELECTORS) - 1, -1, -1):
         count, bits = SELECTORS[s]
-        # Places from which `count` ids in a row are narrow enough; beyond the end all are.
-        narrow = np.flatnonzero(size <= bits)
-        if len(narrow) == n:
+        if most <= bits:
             chosen[:] = s
             continue
+        # Places from which `count` ids in a row are narrow enough; beyond the end all are.
+        narrow = np.flatnonzero(size <= bits)
         narrow = np.concatenate([narrow, np.arange(n, n + count - 1)])
         starts = narrow[: len(narrow) - count + 1]
         starts = starts[narrow[count - 1 :] - starts == count - 1]
@@ -185,7 +194,7 @@ class _Memory(dict):
         self.make, self.room, self.before = make, room, {}
 
     def __missing__(self, key: str) -> bytes:
-        made = self.before.get(key) or self.make(key)
+        made = (self.before and self.before.get(key)) or self.make(key)
         if len(self) >= self.room:
             self.before = dict(self)
             self.clear()
@@ -216,6 +225,11 @@ class Encoder:
         letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u01ba"
         runs = f"[{letters}]+|[0-9]+|[!-&(-/:-@\\[-`{{-~]+"
         self.simple, self.runs = re.compile(f"(?:{runs})+(?:\n(?:{runs})+)*"), re.compile(f"\n|{runs}")
+        # Most words: letters, marks after them, and after a new line (a pre-token of its own) such a word again.
+        marks = "[!-&(-/:-@\\[-`{-~]+"
+        self.common = re.compile(f"([{letters}]+)({marks})?(?:\n([{letters}]+)({marks})?)?").fullmatch
+        self.letters = str.maketrans({c: c.encode().decode("latin-1").translate(self.bytes) for c in map(chr, range(128, 512))})
+        self.packs = [struct.Struct(f"<{n}I").pack for n in range(64)]
         self.gaps = re.compile(r"\s\s")
         self.words = _Memory(self.word, room)
         self.tokens = _Memory(self.token, room)
@@ -229,13 +243,19 @@ class Encoder:
             piece = piece.encode().decode("latin-1").translate(self.bytes)
         elif piece[0] == " ":
             piece = "Ġ" + piece[1:]
-        ids = [t.id for t in self.model(piece)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.packed(piece)
+
+    def packed(self, shown: str) -> bytes:
+        """The ids of one pre-token as byte-level BPE writes it."""
+        ids = [t.id for t in self.model(shown)]
+        return self.packs[len(ids)](*ids) if len(ids) < 64 else struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
         """A word with a space before it."""
-        if word.isascii() and word.isalpha():
-            return self.token(" " + word)
+        if word.isalpha() and word.isascii():
+            return self.packed("Ġ" + word)
+        if found := self.common(word):
+            return self.parts(word, *found.groups())
         if not self.simple.fullmatch(word):
             return self.whole(" " + word)
         first, *rest = self.runs.findall(word)
@@ -243,6 +263,30 @@ class Encoder:
             return self.token(" " + word)
         return self.words[first] + b"".join(map(self.tokens.__getitem__, rest))
 
+    def parts(self, word: str, head: str, marks: str | None, head2: str | None, marks2: str | None) -> bytes:
+        """A common word with a space before it."""
+        if marks is None and head2 is None:
+            return self.packed("Ġ" + word.translate(self.letters))
+        out = self.words[head]
+        if marks:
+            out += self.tokens[marks]
+        if head2:
+            out += self.tokens["\n"] + self.tokens[head2]
+            if marks2:
+                out += self.tokens[marks2]
+        return out
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        """Different words with a space before them; those of several parts are not remembered, only their parts."""
+        known, common, parts, out = self.words, self.common, self.parts, []
+        for w in words:
+            x = known.get(w)
+            if x is None:
+                found = None if w.isalpha() else common(w)
+                x = parts(w, *found.groups()) if found else known[w]
+            out.append(x)
+        return out
+
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self.whole(text)
@@ -253,6 +297,34 @@ class Encoder:
             first, *rest = text.split(" ")
         return self.whole(first) + b"".join(map(self.words.__getitem__, rest))
 
+    def encode_many(self, texts: list[str], limit: int = CHUNK) -> Iterator[np.ndarray]:
+        """The ids of each text, by the different words of up to `limit` characters of texts; longer ones go alone."""
+        for lo, hi in C.groups_of(np.array([len(t) for t in texts]), limit):
+            out, plain = {}, []
+            for i in range(lo, hi):
+                t = texts[i]
+                if len(t) > limit or any(s in t for s in self.special) or t[:1].isspace() or t[-1:].isspace() or self.gaps.search(t):
+                    out[i] = np.frombuffer(self.encode(t), "<u4")
+                else:
+                    plain.append(i)
+            split = pc.split_pattern(pa.array([texts[i] for i in plain], pa.large_string()), " ")
+            ends, words = split.offsets.to_numpy().astype(np.int64), split.flatten().dictionary_encode()
+            piece = words.indices.to_numpy().copy()
+            # A text's first word has no space before it.
+            first = ends[:-1]
+            alone = [self.whole(texts[i].partition(" ")[0]) for i in plain]
+            piece[first] = len(words.dictionary) + np.arange(len(plain))
+            pieces = self.look_up(words.dictionary.to_pylist()) + alone
+            size = np.array([len(x) for x in pieces], np.int32) // 4
+            begin, size = (np.cumsum(size, dtype=np.int32) - size)[piece], size[piece]
+            at = np.cumsum(size, dtype=np.int32)
+            where = np.repeat(begin - at + size, size)
+            where += np.arange(len(where), dtype=np.int32)
+            ids = np.frombuffer(b"".join(pieces), "<u4")[where]
+            bounds = np.concatenate(([0], at))[ends].tolist()
+            out.update((i, ids[a:b]) for i, a, b in zip(plain, bounds[:-1], bounds[1:], strict=True))
+            yield from (out[i] for i in range(lo, hi))
+
 
 _encoders: dict[str, Encoder] = {}
 _MANIFEST = "shard int, file string, n_docs long, n_tokens long"
@@ -262,15 +334,15 @@ def _write(tokenizer: str, folder: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         shard, out, tokens, docs = TaskContext.get().partitionId(), None, 0, 0
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         for whole in batches:
-            for lo in range(0, whole.num_rows, 1000):
-                batch = whole.slice(lo, 1000)
-                for doc_id, text in zip(C.column(batch, "doc_id"), C.column(batch, "text"), strict=True):
+            for lo, hi in C.groups_of(np.diff(C.text_bytes(whole)[1]), CHUNK):
+                batch = whole.slice(lo, hi - lo)
+                texts = [text or "" for text in C.column(batch, "text")]
+                for doc_id, ids in zip(C.column(batch, "doc_id"), encoder.encode_many(texts), strict=True):
                     out = out or ShardWriter(f"{folder}/{shard:06d}-{uuid.uuid4().hex}.zns")
-                    ids = np.frombuffer(encoder.encode(text or "") + end, "<u4")
-                    out.add(doc_id, ids)
-                    tokens, docs = tokens + len(ids), docs + 1
+                    out.add(doc_id, np.concatenate((ids, end)))
+                    tokens, docs = tokens + len(ids) + 1, docs + 1
         if out:
             out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.path]), pa.array([docs]), pa.array([tokens])], names=["shard", "file", "n_docs", "n_tokens"])
