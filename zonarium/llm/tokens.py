@@ -33,7 +33,7 @@ from . import common as C
 MAGIC = b"ZNS8B\x001\n"
 BLOCK = 1 << 16
 #: Bytes of texts whose words are looked up together.
-CHUNK = 1 << 22
+CHUNK = 1 << 23
 #: (ids in a word, bits of each) by selector; 15 is the escape.
 SELECTORS = [(60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
 ESCAPE = 15
