@@ -189,3 +189,43 @@ def test_one_call_extraction(spark, tmp_path):
     numbered = extract_quantity(spark, rasters[0], f"{tmp_path}/raw.gpkg", None, ["weight"]).orderBy("id").collect()
     assert len(numbered) == 2 and "id" in numbered[0].asDict()
     assert zones.select(F.get_json_object("a_band_1_pixels", "$[0].coverage")).where("zone_id = 'z0'").first()[0] is not None
+
+
+def test_many_polygons_at_once():
+    rng = np.random.default_rng(5)
+    jobs = []
+    for k in range(300):
+        a = np.sort(rng.uniform(0, 2 * np.pi, 7))
+        ring = rng.uniform(2, 30, 2) + rng.choice([0.2, 3, 9]) * np.stack([np.cos(a), np.sin(a)], axis=1)
+        ring = np.round(ring) if k % 3 == 0 else ring
+        jobs.append(([[ring]], math.floor(ring[:, 1].min()), math.ceil(ring[:, 1].max()) - 1))
+    jobs.append((polygons.parse_geometry(HOLED), 0, 19))
+    job, row, col, cover, inside = polygons.covered_cells(jobs)
+    for j, (p, r0, r1) in enumerate(jobs):
+        own = job == j
+        assert cover[own].sum() == pytest.approx(sum(ring_area(r) * (-1) ** (i > 0) for q in p for i, r in enumerate(q)), rel=1e-9, abs=1e-7)
+        one = polygons.covered_cells([(p, r0, r1)])
+        assert all(np.array_equal(a[own], b) for a, b in zip((row, col, inside), (one[1], one[2], one[4]), strict=True)) and np.allclose(cover[own], one[3], atol=1e-12)
+        assert np.array_equal(inside[own], (cover[own] == 1) | polygons.strictly_inside(p, col[own] + 0.5, row[own] + 0.5))
+    narrow = polygons.covered_cells(jobs, 12)
+    use = (col >= 0) & (col < 12)
+    assert np.array_equal(narrow[2], col[use]) and np.allclose(narrow[3], cover[use], atol=1e-12)
+
+
+def test_zones_of_one_file_are_clipped_by_many_tasks(spark):
+    zones = spark.range(0, 400, 1, 1).selectExpr("id AS zone_id", "concat('POLYGON((', id, ' 0, ', id + 2, ' 0, ', id, ' 300, ', id, ' 0))') AS geometry")
+    tasks = polygons.zone_pixels(zones, Affine()).groupBy(area.F.spark_partition_id().alias("p")).agg(area.F.sum("coverage").alias("s")).collect()
+    assert len(tasks) > 2 and sum(t.s for t in tasks) == pytest.approx(400 * 300)
+
+
+def test_pixels_of_zones_are_not_broadcast(spark, tmp_path):
+    from zonarium.operators.extraction import extract_pixels
+
+    raster.write_geotiff(str(tmp_path / "a.tif"), np.ones((1, 100, 100)), Affine(1, 0, 0, 0, 1, 0))
+    raster.write_geotiff(str(tmp_path / "b.tif"), np.ones((1, 600, 600)), Affine(1, 0, 0, 0, 1, 0))
+    zones = spark.createDataFrame([(1, "POLYGON((0 0, 9 0, 0 9, 0 0))")], "zone_id int, geometry string")
+    for name, side in (("a", "BuildRight"), ("b", "SortMergeJoin")):
+        pixels = extract_pixels(spark, [str(tmp_path / f"{name}.tif")], zones)
+        plan = pixels._jdf.queryExecution().executedPlan().toString()
+        assert side in plan and "BuildLeft" not in plan
+        assert pixels.agg(area.F.sum("coverage")).first()[0] == pytest.approx(40.5)

@@ -16,6 +16,8 @@ from zonarium.sources import raster
 from zonarium.sources.tables import read_vector, write_raw
 
 _GRID = ("width", "height", "transform", "crs")
+#: Rasters of at most so many cells in all bands are sent to the tasks whole, and meet the pixels of zones there.
+_SMALL_CELLS = 250_000
 
 
 def _metas(paths: list[str], options: dict | None) -> list[raster.RasterMeta]:
@@ -59,7 +61,9 @@ def extract_pixels(
     elif isinstance(weights, str) and weights != AREA_MODES[1]:
         weights = [weights]
     values = raster.read_raster(spark, rasters, fail_on_error, options).select("band_name", "row", "col", "value")
-    pixels = touched.join(values, ["row", "col"])
+    # The planner knows zones by the size of their table and not by their pixels, which it must never send to the driver.
+    small = first.width * first.height * sum(m.n_bands for m in metas) <= _SMALL_CELLS
+    pixels = touched.hint("merge").join(F.broadcast(values) if small else values, ["row", "col"])
     if weights is None:
         return pixels.withColumn("weight", F.lit(1.0))
     if weights == AREA_MODES[0]:
