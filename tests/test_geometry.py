@@ -229,3 +229,15 @@ def test_pixels_of_zones_are_not_broadcast(spark, tmp_path):
         plan = pixels._jdf.queryExecution().executedPlan().toString()
         assert side in plan and "BuildLeft" not in plan
         assert pixels.agg(area.F.sum("coverage")).first()[0] == pytest.approx(40.5)
+
+
+def test_rectangles_are_not_broadcast(spark):
+    from zonarium.operators.grid import rectangle_pixels
+
+    zones = spark.range(0, 200, 1, 1).selectExpr("id AS zone_id", "id % 50 AS x0", "0L AS y0", "id % 50 + 15 AS x1", "25L AS y1")
+    pixels = spark.range(10000).selectExpr("id % 100 AS col", "id div 100 AS row", "id AS value")
+    for given, join in ((area.F.broadcast(pixels), "BuildRight"), (pixels, "SortMergeJoin")):
+        out = rectangle_pixels(zones, given, 10)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert join in plan and "BuildLeft" not in plan and "REPARTITION_BY_NUM" in plan
+        assert out.agg(area.F.sum("coverage")).first()[0] == 200 * 15 * 25

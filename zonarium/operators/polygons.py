@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonarium.operators.grid import Affine
+from zonarium.operators.grid import Affine, dealt_out
 
 #: Grid rows of a zone that one task row clips.
 BAND_ROWS = 64
@@ -321,11 +321,9 @@ def zone_pixels(zones: DataFrame, transform: Affine, width: int | None = None, h
 
     # Zones often come from one small file: they are dealt out to all cores before they are read, and their bands again
     # before they are clipped.
-    session = zones.sparkSession
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    spans = zones.select("zone_id", "geometry").repartition(tasks, "zone_id").mapInArrow(bounds, f"zone_id {kind}, cells binary, first long, last long").where("last >= first")
+    spans = dealt_out(zones.select("zone_id", "geometry"), "zone_id").mapInArrow(bounds, f"zone_id {kind}, cells binary, first long, last long").where("last >= first")
     bands = spans.select("zone_id", "cells", F.explode(F.sequence("first", "last", F.lit(BAND_ROWS).cast("long"))).alias("r"), "last").select("zone_id", "cells", F.array("r", "last").alias("band"))
-    return bands.repartition(tasks, "zone_id", "band").mapInArrow(clip, f"zone_id {kind}, {_OUT}")
+    return dealt_out(bands, "zone_id", "band").mapInArrow(clip, f"zone_id {kind}, {_OUT}")
 
 
 def reproject(zones: DataFrame, source: str, target: str) -> DataFrame:
