@@ -4,6 +4,10 @@ from __future__ import annotations
 
 
 def sequential_sum(items: list):
+    """Left to right. Objects that know the sum of many (`joined`) are not added one by one, each sum copying all before."""
+    joined = getattr(type(items[0]), "joined", None)
+    if joined and len({type(x) for x in items}) == 1:
+        return joined(items)
     total = items[0]
     for x in items[1:]:
         total = total + x
