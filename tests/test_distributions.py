@@ -165,3 +165,84 @@ def test_save_and_load(tmp_path, compressed):
     (tmp_path / "no").write_bytes(b"nothing")
     with pytest.raises(ValueError):
         Distribution.load(f"{tmp_path}/no")
+
+
+def _pixels(spark):
+    """Zones of many, few, two equal and one sample."""
+    rng = np.random.default_rng(7)
+    rows = [(z, "b", int(v), int(c), int(w)) for z, n in ((1, 400), (2, 9), (3, 1)) for v, c, w in zip(rng.integers(0, 90, n), rng.integers(1, 11, n), rng.integers(1, 50, n), strict=True)]
+    rows += [(4, "b", 5, 10, 3), (4, "b", 5, 2, 1), (5, "b", 5, 0, 3)]
+    return rows, spark.createDataFrame(rows, "zone_id long, band_name string, value long, coverage long, weight long")
+
+
+def test_samples_say_what_objects_say(spark):
+    from zonarium.functions.empirical import samples
+    from zonarium.operators.statistics import Units, zonal_statistics
+
+    rows, df = _pixels(spark)
+    found, objects = samples(df, "", True, Units(0.5, 0.1, 1.0, 10)), {}
+    for z in (1, 2, 3, 4):
+        x = sorted({r[2] for r in rows if r[0] == z})
+        u = [sum(r[3] * r[4] for r in rows if r[0] == z and r[2] == v) * 0.1 for v in x]
+        single = sum(r[0] == z for r in rows) == 1
+        objects[z] = EmpDist([v * 0.5 for v in x] * (1 + single), u * (1 + single))
+        objects[z].total_n = 1 + single if single else sum(r[0] == z for r in rows)
+    levels = {"a": 0.0, "b": 0.31, "c": 0.5, "d": 1.0}
+    assert {r.zone_id: list(r)[2:] for r in found.ppf(levels).collect()} == {z: [float(o.ppf(y)) for y in levels.values()] for z, o in objects.items()}
+    assert {r.zone_id: r.cdf for r in found.cdf(22.0).collect()} == pytest.approx({z: float(o.cdf(22.0)) for z, o in objects.items()})
+    for method in ("scott", "silverman", 0.4):
+        want = {z: float(EmpDist(o.data, o.raw, bw_method=method).pdf(22.0)) for z, o in objects.items()}
+        assert {r.zone_id: r.density for r in found.kde(22.0, bw_method=method).collect()} == pytest.approx(want, rel=1e-9)
+    for n in (1, 2, 7, 1000, None):
+        want = {z: EmpDigest(o.data, o.raw, n_approx=n) for z, o in objects.items()}
+        asked = {"nApprox": n, "pdfMethod": "linear"}
+        out = {r.zone_id: r for r in zonal_statistics(df, [{"empDist": {"pdfMethod": "kde", "bw_method": 0.3}}, {"empDigest": asked}], bands=["b"], units=Units(0.5, 0.1, 1.0, 10)).collect()}
+        assert out[5]["b_empDist"] is None and out[5]["b_empDigest"] is None
+        for z, o in objects.items():
+            got, exact = from_row(out[z]["b_empDigest"].asDict()), from_row(out[z]["b_empDist"].asDict())
+            assert got.data.tolist() == want[z].data.tolist() and np.allclose(got.weights, want[z].weights) and got.sum_weights == pytest.approx(o.sum_weights)
+            assert (got.n_approx, got.total_n, got.pdf_points, got.pdf_method) == (want[z].n_approx, o.total_n, want[z].pdf_points, "linear")
+            assert exact.data.tolist() == o.data.tolist() and np.allclose(exact.weights, o.weights) and exact.sum_weights == pytest.approx(o.sum_weights)
+            assert (exact.total_n, exact.pdf_points, exact.pdf_method, exact.pdf_params) == (o.total_n, o.pdf_points, "kde", {"bw_method": "0.3"})
+    whole = merging.sequential_sum(list(objects.values()))
+    merged = found.merged(D.F.lit(0), "g")
+    assert list(merged.ppf(levels).first())[1:] == [float(whole.ppf(y)) for y in levels.values()]
+    assert merged.cdf(22.0).first().cdf == pytest.approx(float(whole.cdf(22.0)))
+    alone = merging.sequential_sum([o for z, o in objects.items() if z != 3])
+    assert found.merged(D.F.lit(0), "g", double=False).cdf(22.0).first().cdf == pytest.approx(float(alone.cdf(22.0)))
+
+
+def test_exact_distributions_are_joined_at_once(monkeypatch):
+    rng = np.random.default_rng(9)
+    parts = [EmpDist(rng.integers(0, 50, 20), rng.random(20), "linear") for _ in range(60)]
+    want, seen = parts[0], []
+    for p in parts[1:]:
+        want = want + p
+    sort = np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **k: (seen.append(len(x)), sort(x, **k))[1])
+    got = merging.sequential_sum(parts)
+    assert sum(seen) == 1200
+    assert got.data.tolist() == want.data.tolist() and np.allclose(got.weights, want.weights) and (got.total_n, got.pdf_points) == (want.total_n, want.pdf_points)
+    digests = [EmpDigest(p.data, p.raw, n_approx=9) for p in parts]
+    assert merging.sequential_sum(digests).n_approx == 9
+
+
+@pytest.mark.parametrize("name", ["q_empdist_ppf", "q_empdist_merge_sequential", "q_empdist_merge_quantile", "q_empdist_merge_minorization", "q_empdist_cdf", "q_kde", "q_empdigest_points", "q_empDigest", "q_boundaryEmpDist"])
+def test_distributions_need_no_python_workers(spark, name):
+    from zonarium.plans import catalog
+
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan and "collect_list(struct(x" not in plan
+
+
+def test_stored_quantiles_need_no_python_workers(spark):
+    from zonarium.operators.statistics import Units, zonal_statistics
+
+    _, df = _pixels(spark)
+    out = zonal_statistics(df, [{"empDist": {}}, {"empDigest": {"nApprox": 5}}], bands=["b"], units=Units(full=10))
+    asked = out.select("zone_id", ppf_of(out.b_empDist, 0.4).alias("p"), ppf_of(out.b_empDigest, 0.4).alias("q"), "b_empDist", "b_empDigest")
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan
+    for r in asked.collect():
+        for value, d in ((r.p, r.b_empDist), (r.q, r.b_empDigest)):
+            assert value == (None if d is None else float(from_row(d.asDict()).ppf(0.4)))
